@@ -17,6 +17,20 @@ URL_RULES = [
 ]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE_KINDS, detect_pii, span_list
+
+    found = detect_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    def count(kind: str):
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select(
+        "doc_id", *(count(k) for k in BASE_KINDS),
+        F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -47,12 +61,32 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rule_quality import score_quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import exact_topk
 
@@ -71,9 +105,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_url_filter": op3_url_filter,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_html_extraction": op7_html_extraction,
+    "op9_quality": op9_quality,
     "op10_topk_search": op10_topk_search,
 }
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op10_topk_search": OP10_SQL}
