@@ -31,6 +31,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -106,6 +112,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_near_dedup": op2_near_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
