@@ -20,6 +20,7 @@ of its own (a group is never divided); its rows are still handled by many tasks.
 from __future__ import annotations
 
 import bisect
+import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from ._shared import durable, number_rows
 
 #: Cells of the hash range that one level of the search sums up.
 CELLS = 1 << 14
+#: Groups near the cuts that are listed one by one; while there are more, they are summed in finer cells.
+LISTED = 1 << 16
 
 
 def greedy(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -137,7 +140,13 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
         if not runs:
             break
         inside = {k for a, b in runs for k in range(a, b + 1)}
-        cells = sorted([c for k, c in enumerate(cells) if k not in inside] + _cells(groups, [(cells[a][0], cells[b][1]) for a, b in runs]))
+        spans = [(cells[a][0], cells[b][1]) for a, b in runs]
+        if sum(cells[k][3] for k in inside) <= LISTED:
+            here = functools.reduce(lambda x, y: x | y, (F.col("key").between(F.lit(lo), F.lit(hi)) for lo, hi in spans))
+            finer = [(r[0], r[0], r[1], 1) for r in groups.where(here).select("key", "size").collect()]
+        else:
+            finer = _cells(groups, spans)
+        cells = sorted([c for k, c in enumerate(cells) if k not in inside] + finer)
     sizes = [c[2] for c in cells]
     cuts = even_cuts(sizes, minimax(sizes, shards)[0], shards)
     return [cells[i][0] if i < len(cells) else (1 << 63) - 1 for i in cuts]
