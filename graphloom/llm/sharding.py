@@ -77,10 +77,10 @@ def minimax(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return low, greedy(sizes, low, shards) or [len(sizes)] * (shards - 1)
 
 
-def _cells(groups: DataFrame, spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+def _cells(groups: DataFrame, spans: list[tuple[int, int]], most: int | None = None) -> list[tuple[int, int, int, int]]:
     """(first key, last key, size, groups) for each non-empty cell of the given key spans."""
     out = []
-    widths = [-(-(hi - lo + 1) // max(1, CELLS // len(spans))) for lo, hi in spans]
+    widths = [-(-(hi - lo + 1) // max(1, (most or CELLS) // len(spans))) for lo, hi in spans]
     span = F.lit(None).cast("int")
     cell = F.lit(None).cast("long")
     for i, ((lo, hi), w) in enumerate(zip(spans, widths)):
@@ -119,7 +119,13 @@ def _bounds(cells: list[tuple[int, int, int, int]], low: int, high: int, shards:
 def cut_keys(groups: DataFrame, shards: int) -> list[int]:
     """First key of shards 1, 2, ... for ``groups`` (key: distinct, 0 to 2^63 - 1; size > 0)."""
     cells = _cells(groups, [(0, (1 << 63) - 1)])
+    most, before = CELLS, None
     while cells:
+        # a cell that is much of a share may hold one heavy group, which must be known to stand alone
+        heavy = [c for c in cells if c[3] > 1 and c[2] * shards * 4 > sum(x[2] for x in cells)]
+        if heavy and len(cells) > 1:
+            cells = sorted([c for c in cells if c not in heavy] + _cells(groups, [c[:2] for c in heavy]))
+            continue
         sizes = [c[2] for c in cells]
         high, _ = minimax(sizes, shards)
         low = max([-(-sum(sizes) // shards), *(c[2] for c in cells if c[3] == 1)])
@@ -141,11 +147,15 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
             break
         inside = {k for a, b in runs for k in range(a, b + 1)}
         spans = [(cells[a][0], cells[b][1]) for a, b in runs]
-        if sum(cells[k][3] for k in inside) <= LISTED:
+        near = sum(cells[k][3] for k in inside)
+        if before is not None and near > 0.7 * before:
+            most *= 2  # the cells were too coarse to come closer
+        before = near
+        if near <= LISTED:
             here = functools.reduce(lambda x, y: x | y, (F.col("key").between(F.lit(lo), F.lit(hi)) for lo, hi in spans))
             finer = [(r[0], r[0], r[1], 1) for r in groups.where(here).select("key", "size").collect()]
         else:
-            finer = _cells(groups, spans)
+            finer = _cells(groups, spans, most)
         cells = sorted([c for k, c in enumerate(cells) if k not in inside] + finer)
     sizes = [c[2] for c in cells]
     cuts = even_cuts(sizes, minimax(sizes, shards)[0], shards)
