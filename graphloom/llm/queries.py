@@ -86,6 +86,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rule_quality import score_quality
 
@@ -118,6 +124,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
+    "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_topk_search": op10_topk_search,
 }
