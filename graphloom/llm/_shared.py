@@ -157,14 +157,16 @@ def text_chunks(column, limit: int = 1 << 20):
     """Cut an Arrow string column into runs of about ``limit`` bytes, whole texts each.
 
     Yields (first row, bytes, offsets); nulls are empty texts. A text longer
-    than the limit is a run of its own.
+    than the limit is a run of its own. Binary columns are cut alike.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
     if len(column) == 0:
         return
-    column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
+    if not pa.types.is_binary(column.type):
+        column = column.cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offs, data = column.buffers()
     offsets = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)

@@ -2,7 +2,8 @@
 
 1. Passages of all documents, as TF-IDF vectors over the benchmark's words, give
    by one pass of a randomised SVD (a Nystrom sketch of the Gram matrix: tasks
-   send sums of a words x SKETCH matrix) a latent space.
+   send sums of a words x SKETCH matrix) a latent space. The benchmark's own
+   passages weigh as much as the corpus's, so that the space can tell them apart.
 2. Windows of each document, in three lengths and a quarter of their length
    apart, are compared by cosine with the benchmark passages of their length.
 3. Around a candidate window, the longest common subsequence of words must
@@ -10,7 +11,7 @@
    that name, or else the item's most telling words) must be in it. So
    reordered, inserted or replaced words are tolerated, common words are not enough.
 
-Words are runs of letters and digits, read with A-Z as a-z. The benchmark is a
+Words are runs of letters and digits in lower case. The benchmark is a
 stated query set: it is taken in blocks of ``BLOCK_WORDS`` words, which bounds
 what the driver holds and broadcasts; each block is searched in all rows.
 
@@ -33,15 +34,17 @@ LCS = 0.6
 #: Share of the answer's words among them.
 ANSWER = 0.5
 #: Cosine from which a window is a candidate.
-COSINE = 0.45
-RANK, SKETCH = 64, 80
+COSINE = 0.62
+RANK, SKETCH = 32, 40
 #: Words of a passage in the statistics; window lengths; words of a block of a window.
 PASSAGE, WINDOWS, UNIT = 32, (16, 32, 64), 4
 SHORT = 8
 #: Words of the benchmark handled at a time.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 60_000
 #: Words whose sums travel together, 4 x ROWS x SKETCH bytes.
 ROWS = 16
+#: Words of a block that are frequent enough to be summed as a dense matrix.
+DENSE = 512
 #: Ids up to which documents are dropped by a broadcast join, and by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 
@@ -65,59 +68,114 @@ def _terms(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == words, at, len(vocabulary))
 
 
-def _passages(bounds: np.ndarray, length: int) -> np.ndarray:
-    """Starts of consecutive passages of each text, in one array."""
-    n = -(-np.diff(bounds) // length)
-    first = np.repeat(bounds[:-1], n)
-    return first + length * (np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n))
+class _Lookup:
+    """:func:`_terms` by a table over the words' leading bits; words of shared slots are searched."""
 
+    BITS = 20
 
-def _known(terms: np.ndarray, bounds: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms within the vocabulary and the passage each belongs to."""
-    starts = _passages(bounds, PASSAGE)
-    at = np.flatnonzero(terms < v)
-    return terms[at], np.searchsorted(starts, at, side="right") - 1
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        slot = (vocabulary >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.table = np.full(1 << self.BITS, -1, np.int32)
+        self.table[slot] = np.arange(len(vocabulary))
+        used, n = np.unique(slot, return_counts=True)
+        self.table[used[n > 1]] = -2
 
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        v = len(self.vocabulary)
+        at = self.table[(words >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        out = np.where(self.vocabulary[np.maximum(at, 0)] == words, np.maximum(at, 0), v)
+        shared = np.flatnonzero(at == -2)
+        out[shared] = _terms(self.vocabulary, words[shared])
+        return out
+
+
+def _encoded(vocabulary):
+    """Each text's words as indexes into the vocabulary, two bytes each."""
 
-def _frequencies(vocabulary):
     def run(batches):
         import pyarrow as pa
 
-        v = len(vocabulary.value)
-        df = np.zeros(v + 1, np.int64)
+        look = _Lookup(vocabulary.value)
         for b in batches:
-            for _, data, offsets in text_chunks(b.column("text")):
+            for row, data, offsets in text_chunks(b.column("text")):
                 words, bounds = hashed_words(data, offsets, _GAPS)
-                t, p = _known(_terms(vocabulary.value, words), bounds, v)
-                df += np.bincount(np.unique(p * (v + 1) + t) % (v + 1), minlength=v + 1)
-                df[v] += len(_passages(bounds, PASSAGE))
+                terms = look(words).astype(np.uint16)
+                n = len(offsets) - 1
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds * 2), pa.py_buffer(terms)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), column], names=["doc_id", "terms"])
+
+    return run
+
+
+def _term_chunks(column, limit: int = 1 << 18):
+    for row, data, offsets in text_chunks(column, limit):
+        yield row, data[int(offsets[0]) : int(offsets[-1])].copy().view(np.uint16).astype(np.int64), (offsets - offsets[0]) // 2
+
+
+def _layout(terms: np.ndarray, bounds: np.ndarray, length: int, v: int, pad: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows x length terms, rows of each text, first row of each text): texts cut into runs, filled up with ``v``."""
+    size = np.diff(bounds)
+    runs = -(-size // length)
+    base = np.cumsum(runs + pad) - (runs + pad)
+    grid = np.full((int((runs + pad).sum()), length), v, np.int64)
+    grid.ravel()[np.arange(len(terms)) + np.repeat(base * length - bounds[:-1], size)] = terms
+    return grid, runs, base
+
+
+def _frequencies(v: int):
+    def run(batches):
+        import pyarrow as pa
+
+        df = np.zeros(v + 1, np.int64)
+        for b in batches:
+            for _, terms, bounds in _term_chunks(b.column("terms")):
+                grid, _, _ = _layout(terms, bounds, PASSAGE, v)
+                if not len(grid):
+                    continue
+                grid.sort(axis=1)
+                new = np.ones(grid.shape, bool)
+                new[:, 1:] = grid[:, 1:] != grid[:, :-1]
+                n = np.bincount(grid[new], minlength=v + 1)
+                n[v] = len(grid)
+                df += n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
     return run
 
 
-def _gram(vocabulary, idf: np.ndarray, omega: np.ndarray):
-    weighted = (idf[:, None] * omega).astype(np.float32)
+def _gram(idf: np.ndarray, omega: np.ndarray):
+    v = len(idf)
+    weighted = np.vstack([idf[:, None] * omega, np.zeros((1, omega.shape[1]))]).astype(np.float32)
+    frequent = np.argsort(idf, kind="stable")[:DENSE]
+    dense = np.full(v + 1, -1)
+    dense[frequent] = np.arange(len(frequent))
 
     def run(batches):
         import pyarrow as pa
 
-        v = len(vocabulary.value)
-        total = np.zeros((-(-v // ROWS) * ROWS, SKETCH))
+        total = np.zeros((-(-(v + 1) // ROWS) * ROWS, SKETCH))
         for b in batches:
-            for _, data, offsets in text_chunks(b.column("text"), 1 << 19):
-                words, bounds = hashed_words(data, offsets, _GAPS)
-                t, p = _known(_terms(vocabulary.value, words), bounds, v)
-                if not len(t):
+            for _, terms, bounds in _term_chunks(b.column("terms")):
+                grid, _, _ = _layout(terms, bounds, PASSAGE, v)
+                if not len(grid):
                     continue
-                first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-                y = np.add.reduceat(weighted[t], first, axis=0)  # A * omega
-                row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(p))))
+                y = weighted[grid[:, 0]]  # A * omega
+                for k in range(1, PASSAGE):
+                    y += weighted[grid[:, k]]
+                # A^T * (A * omega): frequent words as a matrix product, others one by one
+                d = dense[grid]
+                r, c = np.nonzero(d >= 0)
+                a = np.bincount(r * len(frequent) + d[r, c], minlength=len(grid) * len(frequent)).reshape(len(grid), len(frequent)).astype(np.float32)
+                total[frequent] += a.T @ y
+                r, c = np.nonzero((d < 0) & (grid < v))
+                t = grid[r, c]
                 order = np.argsort(t, kind="stable")
                 ts = t[order]
-                edge = np.flatnonzero(np.concatenate(([True], ts[1:] != ts[:-1])))
-                total[ts[edge]] += np.add.reduceat(y[row[order]], edge, axis=0)  # A^T * (A * omega)
+                edge = np.flatnonzero(np.concatenate(([True], ts[1:] != ts[:-1]))) if len(ts) else np.empty(0, np.int64)
+                if len(edge):
+                    total[ts[edge]] += np.add.reduceat(y[r[order]], edge, axis=0)
         total[:v] *= idf[:, None]
         rows = total.astype(np.float32).reshape(-1, ROWS * SKETCH)
         at = np.flatnonzero(rows.any(1))
@@ -138,22 +196,26 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
 
 
-def latent_space(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(coded: DataFrame, vocabulary: np.ndarray, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(idf, map from words to RANK whitened latent coordinates, idf included)."""
-    spark = docs.sparkSession
     v = len(vocabulary)
-    shared = spark.sparkContext.broadcast(vocabulary)
     df = np.zeros(v + 1)
-    for t, n in docs.select("text").mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for t, n in coded.select("terms").mapInArrow(_frequencies(v), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         df[t] = n
     idf = np.log((df[v] + 1) / (df[:v] + 1)) + 1e-3
     omega = np.linalg.qr(np.random.RandomState(17).normal(size=(v, min(v, SKETCH))))[0]
     omega = np.pad(omega, ((0, 0), (0, SKETCH - omega.shape[1])))
-    parts = docs.select("text").mapInArrow(_gram(shared, idf, omega), "part long, sums binary").repartition("part").mapInArrow(_summed, "part long, sums binary").collect()
-    b = np.zeros((-(-v // ROWS) * ROWS, SKETCH))
+    parts = coded.select("terms").mapInArrow(_gram(idf, omega), "part long, sums binary").repartition("part").mapInArrow(_summed, "part long, sums binary").collect()
+    b = np.zeros((-(-(v + 1) // ROWS) * ROWS, SKETCH))
     for k, x in parts:
         b[k * ROWS : (k + 1) * ROWS] = np.frombuffer(x, np.float64).reshape(ROWS, SKETCH)
     b = b[:v]
+    own = np.zeros((len(items), v))
+    for i, w in enumerate(items):
+        np.add.at(own[i], _terms(vocabulary, w), 1)
+    own *= idf
+    spread = np.trace(omega.T @ b) * v / min(v, SKETCH)  # about the corpus's share of the trace
+    b = b + (spread or 1.0) / (own**2).sum() * (own.T @ (own @ omega))
     # Gram ~ b (omega^T b)^-1 b^T: its eigenvectors are the right singular vectors
     c = omega.T @ b
     val, vec = np.linalg.eigh((c + c.T) / 2)
@@ -184,6 +246,10 @@ class _Items:
         self.ids, self.vocabulary = ids, vocabulary
         self.turn = np.vstack([turn, np.zeros((1, turn.shape[1]))]).astype(np.float32)
         self.terms = [_terms(vocabulary, w) for w in words]
+        self.sizes = np.array([len(t) for t in self.terms])
+        self.has = np.zeros((len(words), len(vocabulary) + 1), bool)
+        for i, t in enumerate(self.terms):
+            self.has[i, t] = True
         self.masks, self.answer = [], []
         classes: dict[int, tuple[list, list]] = {w: ([], []) for w in WINDOWS}
         for i, t in enumerate(self.terms):
@@ -208,6 +274,17 @@ class _Items:
         self.classes = {w: (np.array(i), np.array(z, np.float32).T) for w, (i, z) in classes.items() if i}
 
 
+def _enough(items: _Items, terms, bounds, text, item, start, w) -> np.ndarray:
+    """Whether the text around each window has words of the item in sufficient number, in whatever order."""
+    n = items.sizes[item]
+    before = np.minimum(n, 2 * max(WINDOWS))
+    lo = np.maximum(bounds[text], bounds[text] + start - before)
+    hi = np.minimum(bounds[text + 1], bounds[text] + start + w + before)
+    at = lo[:, None] + np.arange(int((hi - lo).max()))
+    shared = items.has[item[:, None], terms[np.minimum(at, len(terms) - 1)]] & (at < hi[:, None])
+    return (shared.sum(1) >= np.where(n < SHORT, n, LCS * n)) | (n > before)
+
+
 def _search(shared):
     pad = max(WINDOWS) // UNIT
 
@@ -218,26 +295,23 @@ def _search(shared):
         v = len(items.vocabulary)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for row0, data, offsets in text_chunks(b.column("text"), 1 << 19):
-                words, bounds = hashed_words(data, offsets, _GAPS)
-                if not len(words):
+            for row0, terms, bounds in _term_chunks(b.column("terms")):
+                if not len(terms):
                     continue
-                terms = _terms(items.vocabulary, words)
-                # sums over units of a few words; zero units after each text keep windows within it
-                units = -(-np.diff(bounds) // UNIT)
-                base = np.cumsum(units + pad) - (units + pad)
-                starts = _passages(bounds, UNIT)
-                slot = np.repeat(base, units) + np.arange(len(starts)) - np.repeat(np.cumsum(units) - units, units)
-                total = int((units + pad).sum())
-                s = np.zeros((total, items.turn.shape[1]), np.float32)
-                s[slot] = np.add.reduceat(items.turn[terms], starts, axis=0)
+                # sums over units of a few words; empty units after each text keep windows within it
+                grid, units, base = _layout(terms, bounds, UNIT, v, pad)
+                s = items.turn[grid[:, 0]]
+                for k in range(1, UNIT):
+                    s += items.turn[grid[:, k]]
+                total = len(grid)
                 text_of = np.repeat(np.arange(len(units)), units)
-                inside = slot - np.repeat(base, units)
+                inside = np.arange(len(text_of)) - np.repeat(np.cumsum(units) - units, units)
+                slot = np.repeat(base, units) + inside
                 width, hits = UNIT, []
                 for w in WINDOWS:
                     while width < w:
                         h = width // UNIT
-                        s[: total - h] = s[: total - h] + s[h:]
+                        s[: total - h] += s[h:].copy()
                         width *= 2
                     if w not in items.classes:
                         continue
@@ -253,6 +327,10 @@ def _search(shared):
                 if not hits:
                     continue
                 t, i, start, cos, w = (np.concatenate(x) for x in zip(*hits))
+                maybe = np.ones(len(t), bool)
+                for k in range(0, len(t), 8192):
+                    maybe[k : k + 8192] = _enough(items, terms, bounds, *(x[k : k + 8192] for x in (t, i, start, w)))
+                t, i, start, cos, w = (x[maybe] for x in (t, i, start, cos, w))
                 order = np.lexsort((start, -cos, i, t))
                 done = None
                 ids = b.column("doc_id")
@@ -286,7 +364,7 @@ def _search(shared):
 def _blocks(benchmark: DataFrame):
     """Distinct items with words, in order, in blocks of at most BLOCK_WORDS words (one item at least)."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer.alias("answer")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text"), F.lower(answer).alias("answer")).where("item_id IS NOT NULL AND text IS NOT NULL")
     block, size = [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         w = _words([r[1]])[0]
@@ -304,14 +382,15 @@ def _blocks(benchmark: DataFrame):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap, cosine, near_word) for every document and item that match."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     schema = "doc_id long, item_id long, overlap double, cosine double, near_word long"
     found = None
     for block in _blocks(benchmark):
         vocabulary = np.unique(np.concatenate([x for _, w, a in block for x in (w, a) if x is not None]))
-        idf, turn = latent_space(docs, vocabulary)
+        coded = durable(docs.mapInArrow(_encoded(spark.sparkContext.broadcast(vocabulary)), "doc_id long, terms binary"))
+        idf, turn = latent_space(coded, vocabulary, [x[1] for x in block])
         items = _Items(np.array([x[0] for x in block]), [x[1] for x in block], [x[2] for x in block], vocabulary, idf, turn)
-        part = docs.mapInArrow(_search(spark.sparkContext.broadcast(items)), schema)
+        part = coded.mapInArrow(_search(spark.sparkContext.broadcast(items)), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
