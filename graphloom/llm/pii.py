@@ -48,7 +48,7 @@ CONTEXT = {
     "iban": r"(?i)\b(?:iban|account|bank|transfer)\b",
     "ssn": r"(?i)\b(?:ssn|social security)\b",
 }
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
 
 
