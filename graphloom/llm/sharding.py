@@ -122,9 +122,10 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
     most, before = CELLS, None
     while cells:
         # a cell that is much of a share may hold one heavy group, which must be known to stand alone
-        heavy = [c for c in cells if c[3] > 1 and c[2] * shards * 4 > sum(x[2] for x in cells)]
+        share = sum(c[2] for c in cells) / shards
+        heavy = [c for c in cells if c[3] > 1 and c[2] * 4 > share]
         if heavy and len(cells) > 1:
-            cells = sorted([c for c in cells if c not in heavy] + _cells(groups, [c[:2] for c in heavy]))
+            cells = sorted([c for c in cells if c[3] == 1 or c[2] * 4 <= share] + _cells(groups, [c[:2] for c in heavy]))
             continue
         sizes = [c[2] for c in cells]
         high, _ = minimax(sizes, shards)
