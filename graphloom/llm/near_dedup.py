@@ -12,7 +12,10 @@
 4. Buckets that still hold several components are searched completely:
    sketches of members in different components are compared with each other
    (bucket by bucket, large buckets in cells of bounded size), and what may be
-   similar is confirmed too. Then components are final.
+   similar is confirmed too. Where almost everything may be similar to
+   everything (a large group of near copies), pairs are not written out: the
+   members meet in cells of bounded size with their full sets, and a cell gives
+   a link for each two components that it joins. Then components are final.
 
 Only step 1 and the confirmation read texts. Two sets at exactly the wanted
 similarity of 0.75 share no bucket with probability 5e-6; the sketch cut lies
@@ -48,6 +51,10 @@ SIGMAS = 4.5
 CELL = 8192
 #: Groups up to this size are compared together with others.
 SMALL = 64
+#: A group with more candidate pairs than so many for each member is compared on full sets in place.
+CROWDED = 8
+#: Members on either side of such a comparison.
+CROWD = 2048
 #: Ids up to which the wanted texts are found by a broadcast (8 bytes each), and by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 
@@ -167,14 +174,18 @@ def _confirmed(num: int, den: int):
     return run
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, members): full sets of the documents named in ``ids`` (id); only their texts become sets and move."""
+    ids = durable(ids)
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "doc_id long, members binary")
+    return durable(sets.dropDuplicates(["doc_id"]), keep_bytes=True)
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     pairs = durable(pairs)
-    ids = durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # only texts of some pair become sets and move
-    sets = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "doc_id long, members binary")
-    sets = durable(sets.dropDuplicates(["doc_id"]), keep_bytes=True)
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
     return durable(both.select("a", "b", "x", "y").mapInArrow(_confirmed(num, den), "a long, b long"))
 
@@ -207,7 +218,7 @@ def _across(num: int, den: int, flips: int):
         """All groups between ``bounds``: small ones side by side, others one at a time."""
         ids, comp, bits, size, block, lo, hi = rows
         sizes = np.diff(bounds)
-        out_a, out_b = [], []
+        out_a, out_b, crowds = [], [], []
         for g in np.flatnonzero(sizes > SMALL):
             part = slice(bounds[g], bounds[g + 1])
             x = tuple(v[part] for v in (ids, comp, bits, size))
@@ -215,6 +226,11 @@ def _across(num: int, den: int, flips: int):
             left = tuple(v[block[part] == first] for v in x)
             right = left if first == last else tuple(v[block[part] == last] for v in x)
             a, b = cell(left, right, first == last)
+            if len(a) > CROWDED * sizes[g]:
+                # not its pairs but its members go on, tied to one of them
+                rest = np.unique(np.concatenate((a, b)))
+                crowds.append(np.stack([rest[1:], np.full(len(rest) - 1, rest[0])], 1))
+                continue
             out_a.append(a)
             out_b.append(b)
         group = np.repeat(np.arange(len(sizes)), sizes)
@@ -231,7 +247,8 @@ def _across(num: int, den: int, flips: int):
             ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= flips
             out_a.append(np.maximum(ids[i], ids[j])[ok])
             out_b.append(np.minimum(ids[i], ids[j])[ok])
-        return np.concatenate([np.empty(0, np.int64), *out_a]), np.concatenate([np.empty(0, np.int64), *out_b])
+        pairs = np.unique(np.stack([np.concatenate([np.empty(0, np.int64), *x]) for x in (out_a, out_b)], 1), axis=0)
+        return pairs, np.concatenate([np.empty((0, 2), np.int64), *crowds])
 
     def run(batches):
         import pyarrow as pa
@@ -245,11 +262,83 @@ def _across(num: int, den: int, flips: int):
             n = int(bounds[-1])
             bits = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch").slice(0, n)), np.uint64).reshape(-1, SKETCH // 64)
             rows = [table.column(c).to_numpy()[:n] for c in ("id", "component", "n_shingles", "block")]
-            a, b = compare((rows[0], rows[1], bits, rows[2], rows[3], lo[:n], hi[:n]), bounds)
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]), table.slice(n)
+            pairs, crowds = compare((rows[0], rows[1], bits, rows[2], rows[3], lo[:n], hi[:n]), bounds)
+            both = np.concatenate((pairs, crowds))
+            crowded = np.arange(len(both)) >= len(pairs)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(crowded)], names=["a", "b", "crowded"]), table.slice(n)
+
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            if len(rest):
+                out, rest = done(rest, False)
+                yield out
+        if rest is not None and len(rest):
+            yield done(rest, True)[0]
+
+    return run
+
+
+def _in_crowd(num: int, den: int):
+    """Links between components within each cell, by exact intersections of full sets; a link for each union at most."""
+
+    def links(ids, comp, block, lo, hi, members):
+        flat = np.concatenate(members)
+        sizes = np.array([len(m) for m in members])
+        starts = np.cumsum(sizes) - sizes
+        _, flat = np.unique(flat, return_inverse=True)
+        mark = np.zeros(flat.max() + 1, np.int8)
+        up: dict[int, int] = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        roots = np.array([root(c) for c in comp])
+        out = []
+        # within one block every row meets the rows after it, else every row of the one block those of the other
+        first = np.flatnonzero(block == lo)
+        for i in first:
+            away = roots != roots[i]
+            away &= (np.arange(len(ids)) > i) if lo == hi else (block == hi)
+            away &= np.minimum(sizes, sizes[i]) * den >= np.maximum(sizes, sizes[i]) * num
+            if not away.any():
+                continue
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = 0
+            for j in np.flatnonzero(away & (common * den >= num * (sizes + sizes[i] - common))):
+                a, b = root(comp[i]), root(comp[j])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    roots[roots == max(a, b)] = min(a, b)
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        return out
+
+    def run(batches):
+        import pyarrow as pa
 
         rest = None
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def done(table, last: bool):
+            table = table.combine_chunks()
+            k, lo, hi = (table.column(c).to_numpy() for c in ("crowd", "lo", "hi"))
+            edges = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            bounds = [0, *edges.tolist(), *([len(k)] if last else [])]
+            out = []
+            for s, e in zip(bounds, bounds[1:]):
+                part = table.slice(s, e - s)
+                members = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("members")]
+                ids, comp, block = (part.column(c).to_numpy() for c in ("id", "component", "block"))
+                out += links(ids, comp.tolist(), block, lo[s], hi[s], members)
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema), table.slice(bounds[-1])
+
         for b in batches:
             t = pa.Table.from_batches([b])
             rest = t if rest is None else pa.concat_tables([rest, t])
@@ -262,6 +351,26 @@ def _across(num: int, den: int, flips: int):
     return run
 
 
+def _cells(rows: DataFrame, key: str, n: str, size: int) -> DataFrame:
+    """Rows of a key in cells (lo, hi) of at most two blocks of about ``size`` rows; every two rows of a key share a cell."""
+    blocks = F.ceil(F.col(n) / size).cast("int")
+    return (
+        rows.withColumns({"block": F.pmod(F.xxhash64("id"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", n)
+        .repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+    )
+
+
+def _crowd_links(docs: DataFrame, crowded: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """Confirmed links within crowds: members tied together, compared on their full sets in cells of bounded size."""
+    crowds = durable(connected_components(crowded).select(F.col("node").alias("id"), F.col("component").alias("crowd")))
+    sets = _sets_of(docs, crowds.select("id").distinct())
+    sizes = crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"))
+    rows = crowds.join(sizes, "crowd").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = rows.join(sets.select(F.col("doc_id").alias("id"), "members"), "id").select("crowd", "id", "component", "members", "n")
+    return durable(_cells(rows, "crowd", "n", CROWD).mapInArrow(_in_crowd(num, den), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -286,17 +395,12 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
     # what the stars left apart: buckets with several components
     placed = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    spread = (
-        placed.join(mixed.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k"))
-        .join(sketches, "id")
-        .select("key", "id", "component", "sketch", "n_shingles", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    )
-    sorted_cells = spread.drop("other", "blocks").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    across = sorted_cells.mapInArrow(_across(num, den, flips), "a long, b long").distinct()
-    more = confirm(docs, across, num, den)
+    spread = placed.join(mixed.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k")).join(sketches, "id").select("key", "id", "component", "sketch", "n_shingles", "n")
+    across = durable(_cells(spread, "key", "n", CELL).mapInArrow(_across(num, den, flips), "a long, b long, crowded boolean").distinct())
+    more = confirm(docs, across.where("NOT crowded").select("a", "b"), num, den)
+    crowded = across.where("crowded").select("a", "b")
+    if not crowded.isEmpty():
+        more = more.unionByName(_crowd_links(docs, crowded, comps, num, den))
     final = durable(connected_components(links.unionByName(more)))
     named = classes.select("d0", "d1", F.col("n_shingles").alias("n"), "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("d0", "d1", "n", F.coalesce("component", "id").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "d0", "d1").join(named, (signed.d0 == named.d0) & (signed.d1 == named.d1) & (signed.n_shingles == named.n), "left")

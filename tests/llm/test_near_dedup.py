@@ -81,6 +81,17 @@ def test_complete_search_alone_finds_every_link(spark, monkeypatch):
     assert result(nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
 
+@pytest.mark.parametrize("crowd", [5, 2048])
+def test_crowds_are_compared_on_full_sets(spark, monkeypatch, crowd):
+    docs = made_documents()
+    allowed = nd._allowed
+    monkeypatch.setattr(nd, "_allowed", lambda flips: allowed(-1))
+    monkeypatch.setattr(nd, "SMALL", 2)
+    monkeypatch.setattr(nd, "CROWDED", 0)
+    monkeypatch.setattr(nd, "CROWD", crowd)
+    assert result(nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x")], "doc_id long, text string")
     rows = sorted(((r["doc_id"] or -1), r["component_id"], r["kept"]) for r in nd.near_duplicates(df).collect())
