@@ -4,7 +4,7 @@
    by one pass of a randomised SVD (a Nystrom sketch of the Gram matrix: tasks
    send sums of a words x SKETCH matrix) a latent space. The benchmark's own
    passages weigh as much as the corpus's, so that the space can tell them apart.
-2. Windows of each document, in three lengths and a quarter of their length
+2. Windows of each document, in four lengths and about a quarter of their length
    apart, are compared by cosine with the benchmark passages of their length.
 3. Around a candidate window, the longest common subsequence of words must
    cover ``LCS`` of the item, and ``ANSWER`` of the item's answer (the column of
@@ -33,11 +33,11 @@ from ._shared import durable, hashed_words, text_chunks
 LCS = 0.6
 #: Share of the answer's words among them.
 ANSWER = 0.5
-#: Cosine from which a window is a candidate.
+#: Cosine from which a window is a candidate; less for items shorter than their window, which holds other words too.
 COSINE = 0.62
 RANK, SKETCH = 32, 40
 #: Words of a passage in the statistics; window lengths; words of a block of a window.
-PASSAGE, WINDOWS, UNIT = 32, (16, 32, 64), 4
+PASSAGE, WINDOWS, UNIT = 32, (8, 16, 32, 64), 4
 SHORT = 8
 #: Words of the benchmark handled at a time.
 BLOCK_WORDS = 60_000
@@ -251,7 +251,7 @@ class _Items:
         for i, t in enumerate(self.terms):
             self.has[i, t] = True
         self.masks, self.answer = [], []
-        classes: dict[int, tuple[list, list]] = {w: ([], []) for w in WINDOWS}
+        classes: dict[int, tuple[list, list, list]] = {w: ([], [], []) for w in WINDOWS}
         for i, t in enumerate(self.terms):
             masks: dict[int, int] = {}
             for k, x in enumerate(t.tolist()):
@@ -271,7 +271,8 @@ class _Items:
                 z = self.turn[part].sum(0)
                 classes[w][0].append(i)
                 classes[w][1].append(z / (np.linalg.norm(z) + 1e-12))
-        self.classes = {w: (np.array(i), np.array(z, np.float32).T) for w, (i, z) in classes.items() if i}
+                classes[w][2].append(COSINE * min(1.0, len(part) / w) ** 0.5)
+        self.classes = {w: (np.array(i), np.array(z, np.float32).T, np.array(c, np.float32)) for w, (i, z, c) in classes.items() if i}
 
 
 def _enough(items: _Items, terms, bounds, text, item, start, w) -> np.ndarray:
@@ -315,14 +316,14 @@ def _search(shared):
                         width *= 2
                     if w not in items.classes:
                         continue
-                    which, z = items.classes[w]
+                    which, z, cut = items.classes[w]
                     at = np.flatnonzero(inside % (w // 4 // UNIT or 1) == 0)
                     for k in range(0, len(at), 8192):
                         rows = at[k : k + 8192]
                         x = s[slot[rows]]
                         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
                         cos = x @ z
-                        r, c = np.nonzero(cos > (COSINE * norm)[:, None])
+                        r, c = np.nonzero(cos > norm[:, None] * cut)
                         hits.append((text_of[rows[r]], which[c], inside[rows[r]] * UNIT, cos[r, c] / np.maximum(norm[r], 1e-12), np.full(len(r), w)))
                 if not hits:
                     continue
