@@ -67,7 +67,7 @@ def of(graph, s):
 def test_parser_rows():
     got = yang.parse('module m { a "x\\n\\"y"; b \'z\\n\' + "q"; c { d e//f;\n /* ; */ ; } }')
     assert [(r[3], r[4], r[5]) for r in got] == [(0, "module", "m"), (1, "a", 'x\n"y'), (1, "b", "z\\nq"), (1, "c", None), (2, "d", "e")]
-    assert yang.parse('module m {\n  d "one\n     two  \n   three";\n}')[1][5] == "one\n two\nthree"
+    assert yang.parse('module m {\n  d "one\n      two  \n   three";\n}')[1][5] == "one\n two\nthree"
     for bad in ("", "module m {", "module m { a b c; }", "module m { } }", "leaf x;", 'module m { a "b; }', "module m { a + 'b'; }"):
         with pytest.raises(ValueError):
             yang.parse(bad)
