@@ -26,6 +26,8 @@ KINDS = (*BASE_KINDS, "iban", "ssn")
 THRESHOLD = 0.6
 #: Code points looked at on either side of a span.
 NEAR = 48
+#: Matches walked at a time.
+RUN = 128
 #: What proposes a span of each kind.
 PATTERNS = {
     # a local part is tried from the start of its run, or where the last match ended
@@ -85,18 +87,27 @@ def find_spans(text: Column, kind: str) -> Column:
     n = F.size(found)
     parts = F.arrays_zip(F.slice(between, 1, n), found, F.slice(between, 2, n)).cast("array<struct<p:string,m:string,q:string>>")
     empty = F.array().cast("array<struct<start:int,m:string,a:string,b:string>>")
-    walked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(x["p"])).alias("start"), x["m"].alias("m"),
-                F.right(x["p"], F.lit(NEAR)).alias("a"), F.left(x["q"], F.lit(NEAR)).alias("b"),
-            ))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    def walk(some: Column, at: Column) -> Column:
+        return F.aggregate(
+            some,
+            F.struct(at.alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(
+                    (acc["at"] + F.length(x["p"])).alias("start"), x["m"].alias("m"),
+                    F.right(x["p"], F.lit(NEAR)).alias("a"), F.left(x["q"], F.lit(NEAR)).alias("b"),
+                ))).alias("out"),
+            ),
+        )
+
+    # in runs, since every step copies what its run has so far
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(parts, i + 1, F.lit(RUN)))
+
+    def onward(acc: Column, some: Column) -> Column:
+        step = walk(some, acc["at"])
+        return F.struct(step["at"].alias("at"), F.concat(acc["out"], F.array(step["out"])).alias("out"))
+
+    walked = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,m:string,a:string,b:string>>>").alias("out")), onward, lambda acc: F.flatten(acc["out"]))
     base, more = SCORES[kind]
     spans = F.transform(F.filter(walked, lambda x: _valid(kind, x["m"])), lambda x: F.struct(
         F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"),
