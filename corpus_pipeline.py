@@ -19,7 +19,7 @@ from graphloom.llm.decontaminate import drop_leaks
 from graphloom.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.pii import detect_pii, redact
-from graphloom.llm.rule_quality import compile_rules, fit_quality, with_statistics
+from graphloom.llm.rule_quality import keep_quality
 
 #: Probability of good quality from which a document stays.
 QUALITY = 0.3
@@ -27,8 +27,7 @@ QUALITY = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is QUALITY at least."""
-    rules, intercept = fit_quality(docs, read(spark, sf_dir, "labels"))
-    return with_statistics(docs).where(compile_rules(rules, intercept) >= QUALITY).drop("__stats")
+    return keep_quality(docs, read(spark, sf_dir, "labels"), cut=QUALITY)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,6 +212,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", lim
     return fit_rules(rows[list(FEATURES)].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", cut: float = 0.3, limit: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` at least.
+
+    The score passes through a generator, below which a filter isn't pushed:
+    pushed into the projection, it would compute every statistic once for each
+    rule that uses it.
+    """
+    rules, intercept = fit_quality(docs, labels, target, limit)
+    scored = with_statistics(docs).withColumn("__score", F.explode(F.array(compile_rules(rules, intercept))))
+    return scored.where(F.col("__score") >= cut).select(*docs.columns)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", cut: float = 0.3, limit: int = FIT_ROWS) -> DataFrame:
     """``docs`` with held_out, score (probability of label 1) and predicted (score >= cut)."""
     rules, intercept = fit_quality(docs, labels, target, limit)
