@@ -33,9 +33,10 @@ from ._shared import durable, hashed_words, text_chunks
 LCS = 0.6
 #: Share of the answer's words among them.
 ANSWER = 0.5
-#: Cosine from which a window is a candidate; less for items shorter than their window, which holds other words too.
-COSINE = 0.62
-RANK, SKETCH = 32, 40
+#: Cosine from which a window is a candidate: LCS times what the window farthest from a passage holds of it (7/8 from
+#: 16 words on), less the scatter of RANK coordinates; lower still for items shorter than their window, which holds other words too.
+COSINE = 0.45
+RANK, SKETCH = 64, 80
 #: Words of a passage in the statistics; window lengths; words of a block of a window.
 PASSAGE, WINDOWS, UNIT = 32, (8, 16, 32, 64), 4
 SHORT = 8

@@ -159,3 +159,28 @@ def test_benchmark_blocks(spark, monkeypatch):
     docs, items, truth = made(1)
     got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert truth <= got
+
+
+@pytest.mark.parametrize("share", [0.3, 0.4])
+def test_paraphrases_among_many_items_are_found(spark, share):
+    rng = np.random.RandomState(5)
+    vocab, zipf = [f"word{i}" for i in range(20_000)], 1 / np.arange(1, 20_001)
+    draw = lambda n: list(rng.choice(vocab, n, p=zipf / zipf.sum()))
+    items = [(i, draw(int(rng.randint(16, 64)))) for i in range(1200)]
+    other = [x for _, w in items for x in w]
+    docs, truth = [], set()
+    for d in range(800):
+        words = draw(int(rng.randint(30, 300)))
+        if d % 2 == 0:
+            i, old = items[rng.randint(len(items))]
+            new = list(old)
+            for k in rng.choice(len(new), int(len(new) * share), replace=False):
+                new[k] = other[rng.randint(len(other))]
+            at = rng.randint(len(words) + 1)
+            words[at:at] = new
+            truth.add((d, i))
+        docs.append((d, " ".join(words)))
+    # every word counts as the answer, so that only the search can lose a pair
+    table = spark.createDataFrame([(i, " ".join(w), " ".join(w)) for i, w in items], "item_id long, text string, answer string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    assert truth <= got
