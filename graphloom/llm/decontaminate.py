@@ -34,7 +34,7 @@ LCS = 0.6
 #: Share of the answer's words among them.
 ANSWER = 0.5
 #: Cosine from which a window is a candidate: LCS times what the window farthest from a passage holds of it (7/8 from
-#: 16 words on), less the scatter of RANK coordinates; lower still for items shorter than their window, which holds other words too.
+#: 16 words on), less the scatter of RANK coordinates; lower still for passages shorter than their window, which holds other words too, or longer, which it holds in part.
 COSINE = 0.45
 RANK, SKETCH = 64, 80
 #: Words of a passage in the statistics; window lengths; words of a block of a window.
@@ -263,16 +263,14 @@ class _Items:
             else:  # the most telling quarter of its words
                 distinct = np.unique(t)
                 self.answer.append(frozenset(distinct[np.argsort(-idf[distinct], kind="stable")[: max(1, len(distinct) // 4)]].tolist()))
+            # even pieces hold every word once: some piece keeps the share of its words that the item keeps
             step = max(WINDOWS)
-            for s in range(0, len(t), step):
-                part = t[s : s + step]
-                if s and len(part) < step // 2:
-                    break
+            for part in np.array_split(t, -(-len(t) // step)):
                 w = next((w for w in WINDOWS if len(part) <= 1.25 * w), step)
                 z = self.turn[part].sum(0)
                 classes[w][0].append(i)
                 classes[w][1].append(z / (np.linalg.norm(z) + 1e-12))
-                classes[w][2].append(COSINE * min(1.0, len(part) / w) ** 0.5)
+                classes[w][2].append(COSINE * min(w / len(part), len(part) / w) ** 0.5)
         self.classes = {w: (np.array(i), np.array(z, np.float32).T, np.array(c, np.float32)) for w, (i, z, c) in classes.items() if i}
 
 

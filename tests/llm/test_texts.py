@@ -184,3 +184,11 @@ def test_paraphrases_among_many_items_are_found(spark, share):
     table = spark.createDataFrame([(i, " ".join(w), " ".join(w)) for i, w in items], "item_id long, text string, answer string")
     got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
     assert truth <= got
+
+
+@pytest.mark.parametrize("n", [8, 64, 65, 80, 95, 96, 130, 159, 300])
+def test_passages_hold_every_word_of_an_item(n):
+    words = np.arange(n, dtype=np.uint64)
+    items = dc._Items([1], [words], [None], words, np.ones(n), np.eye(n))
+    held = sum((z > 0).sum(1) for _, z, _ in items.classes.values())
+    assert held.tolist() == [1] * n
