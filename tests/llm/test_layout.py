@@ -108,6 +108,16 @@ def test_ids_are_those_of_the_tokenizer():
         assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>\n a", "a<|endoftext |>", "plain"]
+    got = {r["doc_id"]: r["ids"] for r in pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+
+
+
 def test_packing_query_and_round_trip(spark, sf):
     docs = {r[0]: r[1] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     encode = encoder(vocabulary())
