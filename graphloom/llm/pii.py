@@ -9,6 +9,9 @@ Everything is a column expression: no row leaves the JVM. Positions come from
 ``split``, which returns what lies between the matches that
 ``regexp_extract_all`` returns. Long runs can't make a pattern quadratic or
 recurse: repeated groups are possessive, and a run is tried from its start only.
+Matches are computed once for a text, and their positions are sums over runs of
+``RUN`` matches: a fold carries a number and never a list, which every step would
+copy, so very many matches take linear time.
 
 Defined results: null and empty texts have no spans (the digest is that of the
 empty string); repeated rows give repeated results; positions are code points,
@@ -26,8 +29,8 @@ KINDS = (*BASE_KINDS, "iban", "ssn")
 THRESHOLD = 0.6
 #: Code points looked at on either side of a span.
 NEAR = 48
-#: Matches walked at a time.
-RUN = 128
+#: Matches of a run.
+RUN = 64
 #: What proposes a span of each kind.
 PATTERNS = {
     # a local part is tried from the start of its run, or where the last match ended
@@ -79,6 +82,28 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _runs(items: Column, size: int = RUN) -> Column:
+    """An array cut into arrays of ``size`` items."""
+    return _bind(items, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(size)), lambda i: F.slice(x, i + 1, F.lit(size))))
+
+
+def _before(values: Column, fold) -> Column:
+    """For each number, the fold (from 0) of those before it: of whole runs first, then within its run."""
+
+    def run(r: Column, at: Column) -> Column:
+        return F.transform(r, lambda _, i: F.aggregate(F.slice(r, F.lit(1), i), at, fold))
+
+    def runs(all_: Column, sums: Column) -> Column:
+        return F.flatten(F.transform(all_, lambda r, j: _bind(F.aggregate(F.slice(sums, F.lit(1), j), F.lit(0), fold), lambda at: run(r, at))))
+
+    return _bind(_runs(values), lambda x: _bind(F.transform(x, lambda r: F.aggregate(r, F.lit(0), fold)), lambda sums: runs(x, sums)))
+
+
 def find_spans(text: Column, kind: str) -> Column:
     """All confirmed spans of a kind, leftmost first, as an array of structs."""
     pattern = PATTERNS[kind]
@@ -86,28 +111,15 @@ def find_spans(text: Column, kind: str) -> Column:
     between = F.split(text, pattern, -1)
     n = F.size(found)
     parts = F.arrays_zip(F.slice(between, 1, n), found, F.slice(between, 2, n)).cast("array<struct<p:string,m:string,q:string>>")
-    empty = F.array().cast("array<struct<start:int,m:string,a:string,b:string>>")
-    def walk(some: Column, at: Column) -> Column:
-        return F.aggregate(
-            some,
-            F.struct(at.alias("at"), empty.alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct(
-                    (acc["at"] + F.length(x["p"])).alias("start"), x["m"].alias("m"),
-                    F.right(x["p"], F.lit(NEAR)).alias("a"), F.left(x["q"], F.lit(NEAR)).alias("b"),
-                ))).alias("out"),
-            ),
-        )
-
-    # in runs, since every step copies what its run has so far
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(parts, i + 1, F.lit(RUN)))
-
-    def onward(acc: Column, some: Column) -> Column:
-        step = walk(some, acc["at"])
-        return F.struct(step["at"].alias("at"), F.concat(acc["out"], F.array(step["out"])).alias("out"))
-
-    walked = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,m:string,a:string,b:string>>>").alias("out")), onward, lambda acc: F.flatten(acc["out"]))
+
+    def placed(all_: Column) -> Column:
+        ends = _before(F.transform(all_, lambda x: F.length(x["p"]) + F.length(x["m"])), lambda a, n: a + n)
+        return F.zip_with(all_, ends, lambda x, at: F.struct(
+            (at + F.length(x["p"])).alias("start"), x["m"].alias("m"),
+            F.right(x["p"], F.lit(NEAR)).alias("a"), F.left(x["q"], F.lit(NEAR)).alias("b"),
+        ))
+
+    walked = _bind(parts, placed)
     base, more = SCORES[kind]
     spans = F.transform(F.filter(walked, lambda x: _valid(kind, x["m"])), lambda x: F.struct(
         F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"),
@@ -137,13 +149,24 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.col(text)
     ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    walked = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            (-s["back"]).alias("at"),
-            F.concat(acc["out"], F.array(F.substr(body, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
-        )).otherwise(F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)),
-    )
-    return docs.withColumn(text, F.when(F.size("pii") > 0, walked).otherwise(body)).drop("pii")
+
+    def labelled(part: Column, lo: Column, some: Column, sizes: tuple) -> Column:
+        """Text and label of each cut; ``part`` begins at ``lo`` and is narrowed to ever smaller runs, as finding a place in a text takes time for all before it."""
+        if not sizes:
+            return F.array_join(F.transform(some, lambda x: F.concat(F.substr(part, x["lo"] - lo + 1, x["hi"] - x["lo"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), "")
+
+        def narrowed(run: Column) -> Column:
+            first = run[0]["lo"]
+            return _bind(F.substr(part, first - lo + 1, F.element_at(run, -1)["hi"] - first), lambda p: labelled(p, first, run, sizes[1:]))
+
+        return F.array_join(F.transform(_runs(some, sizes[0]), narrowed), "")
+
+    def cuts(spans: Column) -> Column:
+        """(lo, hi, kind) of the text before each span that begins after all earlier ones."""
+        ends = _before(F.transform(spans, lambda s: -s["back"]), lambda a, e: F.greatest(a, e))
+        zipped = F.zip_with(spans, ends, lambda s, at: F.struct(at.alias("lo"), s["start"].alias("hi"), s["kind"].alias("kind")))
+        return F.filter(zipped, lambda x: x["hi"] >= x["lo"])
+
+    last = F.array_max(F.transform("pii", lambda s: s["end"]))
+    redacted = F.concat(_bind(ordered, lambda o: _bind(cuts(o), lambda c: labelled(body, F.lit(0), c, (RUN * RUN, RUN)))), F.substr(body, last + 1))
+    return docs.withColumn(text, F.when(F.size("pii") > 0, redacted).otherwise(body)).drop("pii")
