@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only where driver and tasks are one process (master ``local`` or
+    ``local[n]``) an unset folder is replaced by a private one; on a cluster
+    each executor would write to a disk of its own, so the job fails instead.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="graphloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -34,16 +45,62 @@ def durable(df: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphloom/{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
     df.write.parquet(path, compression="zstd" if not keep_bytes else "none")
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths that :func:`durable` writes within the block, for :func:`drop_tables`."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE[:] = [m for m in _MADE if m is not made]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that no later plan reads."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which keeps partitions and their order."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Groups that may be too large for a task; fewer groups than this hold more than 1 / BUSY of all rows each.
+BUSY = 1 << 14
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner equi-join of rows with one row for each group, without gathering a large group in one task.
+
+    ``size`` is a column of ``groups``: the rows that a group has, or more.
+    Sizes sum up to ``total`` at most, so fewer than ``BUSY`` groups exceed
+    total / BUSY; these are broadcast and meet their rows where they lie, and
+    the rest is shuffled in groups of total / BUSY rows at most. ``groups`` has
+    no columns of ``rows`` but the keys.
+    """
+    bound = total // BUSY
+    renamed = groups.withColumnsRenamed({k: f"__{k}" for k in keys})
+    more = [c for c in groups.columns if c not in keys]
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__{k}") for k in keys))
+    marked = rows.join(F.broadcast(renamed.where(F.col(size) > bound)), same, "left")
+    hot = marked.where(F.col(size).isNotNull()).select(*rows.columns, *more)
+    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(renamed.where(F.col(size) <= bound), same)
+    return hot.unionByName(rest.select(*rows.columns, *more))
+
+
 def held_out(doc_id="doc_id"):
     """Rows that no model may learn from: crc32 of the id's text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed
+from ._shared import checkpointed, join_groups
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest reachable node.
 
-    Every step is an aggregation by node and a join with its result, so no
-    node's neighbours are gathered in one place, and the number of rounds grows
-    with the logarithm of the longest path. The edges of each round are
-    checkpointed.
+    Every step is an aggregation by node, combined before it moves, and a join
+    of the edges with its result, in which the few nodes with very many edges
+    are broadcast; so no node's neighbours are gathered in one task. The number
+    of rounds grows with the logarithm of the longest path. The edges of each
+    round are checkpointed.
     """
     e = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = _state(e)
@@ -23,11 +24,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             break
         # large star: a node's larger neighbours move to its smallest
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = 2 * state[0]
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_groups(both.where("v > u"), least, ["u"], "n", ends).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node's smaller neighbours and itself move to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(large, low, ["u"], "n", ends).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         new = _state(e)
         if new == state:

@@ -23,8 +23,10 @@ similarity of 0.75 share no bucket with probability 5e-6; the sketch cut lies
 
 Defined results: texts without words, and null texts, have an empty set and are
 linked with nothing; with fewer words than a shingle the whole sequence is one
-shingle; repeated rows (also with an equal id) are equal sets; a null id gets
-no component and is not kept; other input columns are ignored.
+shingle; repeated rows are equal sets; rows with one id and different texts are
+one document, linked with whatever any of its texts is linked with (each row
+keeps the size of its own set); a null id gets no component and is not kept;
+other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, hashed_words, mix64, text_chunks
+from ._shared import durable, hashed_words, join_groups, mix64, text_chunks
 from .components import connected_components
 
 WORDS = 5
@@ -179,7 +181,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = durable(ids)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "doc_id long, members binary")
-    return durable(sets.dropDuplicates(["doc_id"]), keep_bytes=True)
+    # an id has one set for each different text
+    return durable(sets.withColumn("digest", F.md5("members")).dropDuplicates(["doc_id", "digest"]).drop("digest"), keep_bytes=True)
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -187,7 +190,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, num: int = NUM, den: int = DEN) -
     pairs = durable(pairs)
     sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
-    return durable(both.select("a", "b", "x", "y").mapInArrow(_confirmed(num, den), "a long, b long"))
+    return durable(both.select("a", "b", "x", "y").mapInArrow(_confirmed(num, den), "a long, b long").distinct())
 
 
 def _across(num: int, den: int, flips: int):
@@ -377,10 +380,10 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
     signed = durable(docs.mapInArrow(_sign, "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>, sketch binary"))
     # equal sets are one class; counted before they move, so a large group of copies is a few rows
     grouped = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d0", "d1", "n_shingles")
-    classes = durable(grouped.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    classes = durable(grouped.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
     bands = classes.select(F.explode("keys").alias("key"), "id")
     buckets = bands.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = durable(bands.join(buckets.select(F.col("key").alias("k"), "low", "n"), F.col("key") == F.col("k")).select("key", "id", "low", "n"))
+    members = durable(join_groups(bands, buckets, ["key"], "n", BANDS * classes.count()))
     sketches = classes.select("id", "sketch", "n_shingles")
     flips = most_flips(num, den)
     stars = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
@@ -390,22 +393,35 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
         .where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
         .select("a", "b", "sa", "sb").mapInArrow(_allowed(flips), "a long, b long")
     )
-    links = confirm(docs, near, num, den)
+    links = confirm(docs, near, num, den).unionByName(_texts_of_one_id(signed, classes))
     comps = durable(connected_components(links))
     # what the stars left apart: buckets with several components
     placed = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-    spread = placed.join(mixed.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k")).join(sketches, "id").select("key", "id", "component", "sketch", "n_shingles", "n")
+    spread = join_groups(placed, mixed.select("key", "n"), ["key"], "n", members.count()).join(sketches, "id").select("key", "id", "component", "sketch", "n_shingles", "n")
     across = durable(_cells(spread, "key", "n", CELL).mapInArrow(_across(num, den, flips), "a long, b long, crowded boolean").distinct())
     more = confirm(docs, across.where("NOT crowded").select("a", "b"), num, den)
     crowded = across.where("crowded").select("a", "b")
     if not crowded.isEmpty():
         more = more.unionByName(_crowd_links(docs, crowded, comps, num, den))
     final = durable(connected_components(links.unionByName(more)))
-    named = classes.select("d0", "d1", F.col("n_shingles").alias("n"), "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("d0", "d1", "n", F.coalesce("component", "id").alias("component"))
-    joined = signed.select("doc_id", "n_shingles", "d0", "d1").join(named, (signed.d0 == named.d0) & (signed.d1 == named.d1) & (signed.n_shingles == named.n), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    named = classes.select("d0", "d1", "n_shingles", "id", "copies").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("d0", "d1", "n_shingles", "copies", F.coalesce("component", "id").alias("component"))
+    rows = signed.select("doc_id", "n_shingles", "d0", "d1")
+    full = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    joined = join_groups(rows.where(full), named, ["d0", "d1", "n_shingles"], "copies", signed.count()).select("doc_id", "n_shingles", "component")
+    own = final.select(F.col("node").alias("__id"), F.col("component").alias("__component"))
+    bare = rows.where(~full & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles").join(own, F.col("doc_id") == F.col("__id"), "left")
+    joined = joined.unionByName(bare.select("doc_id", "n_shingles", F.coalesce("__component", "doc_id").alias("component")))
+    joined = joined.unionByName(rows.where("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    return joined.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def _texts_of_one_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between an id and the classes of its texts, for ids with several different texts."""
+    rows = signed.where("doc_id IS NOT NULL").select("doc_id", "d0", "d1", "n_shingles")
+    many = rows.groupBy("doc_id").agg(F.min(F.struct("d0", "d1", "n_shingles")).alias("x"), F.max(F.struct("d0", "d1", "n_shingles")).alias("y")).where("x <> y").select("doc_id")
+    rows = rows.join(many, "doc_id", "left_semi").distinct()
+    return durable(rows.join(classes.select("d0", "d1", "n_shingles", "id"), ["d0", "d1", "n_shingles"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
 
 
 def _allowed(flips: int):
