@@ -74,7 +74,11 @@ def test_url_rules(spark):
 def test_many_rules_are_joined_without_a_broadcast(spark, monkeypatch):
     import graphloom.llm.url_filter as uf
 
-    monkeypatch.setattr(uf, "BROADCAST_RULES", 1)
-    df = spark.createDataFrame([(1, "https://a.example.com/en/1"), (2, "http://x.net/es/")], "page_id long, url string")
-    got = {r["page_id"]: r["rule"] for r in filter_urls(df, spark.createDataFrame(RULES, "host string, path string, verdict string")).collect()}
-    assert got == {1: "example.com/en/", 2: "net/es/"}
+    monkeypatch.setattr(uf, "ROW_RULES", 0)
+    urls = ["https://a.example.com/en/1", "http://x.net/es/", None, "", "http://com/", "http://com/", "http://com/", "nowhere"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    for most in (1, 100):
+        monkeypatch.setattr(uf, "BROADCAST_RULES", most)
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(df, rules).collect()}
+        assert got == {i: judge(u) for i, u in enumerate(urls)}
