@@ -82,6 +82,55 @@ def test_main_text():
     assert len(main_text("<p>" + "<b>" * 20_000 + "deep" + "x, " * 100_000)) > 200_000
 
 
+P = "A paragraph of the article, long enough to be scored, with commas, and more."
+Q = "Another paragraph, which is just as long as the first, and has commas, too."
+C = "A reader says, at length, that all of this is wrong, and so on, and so forth. " * 6
+LABELLED = {
+    "related work is content": (f"<article><p>{P}</p><p class='related-work'>{Q}</p></article>", [P, Q]),
+    "a share price is content": (f"<article><p>{P}</p><div id='share-price'>{Q}</div></article>", [P, Q]),
+    "an advert within an article": (f"<article><p>{P}</p><div class='ad'>Buy now, buy it here, and buy it all today!</div><p>{Q}</p></article>", [P, Q]),
+    "an advert with a layout word": (f"<article><p>{P}</p><div class='ad-box 3'>Buy now, buy it here, and buy it all today!</div></article>", [P]),
+    "a layout class around everything": (f"<div class='content has-sidebar'><div><p>{P}</p><p>{Q}</p></div></div>", [P, Q]),
+    "a fixed header's page": (f"<div id='page' class='header-fixed'><article><p>{P}</p></article></div>", [P]),
+    "a navigation layout": (f"<div class='layout with-nav'><div><p>{P}</p><p>{Q}</p></div></div>", [P, Q]),
+    "an article's header": (f"<article><div class='article-header'><h1>Title</h1></div><p>{P}</p></article>", ["Title", P]),
+    "a header element in an article": (f"<header>Site</header><article><header><h1>Title</h1></header><p>{P}</p></article>", ["Title", P]),
+    "a site header": (f"<div class='site-header'>The site, its name, its motto, and a long line of text.</div><article><p>{P}</p></article>", [P]),
+    "two articles in main": (f"<main><h1>Title</h1><p>{Q}</p><article><p>{P}</p></article><article><p>{P}</p><p>{Q}</p></article></main>", ["Title", Q, P, P, Q]),
+    "comments longer than the article": (f"<article><p>{P}</p><p>{Q}</p></article><section id='comments'><p>{C}</p><p>{C}</p></section>", [P, Q]),
+    "comments that are articles": (f"<main><article><p>{P}</p><p>{Q}</p></article><section class='comment-list'><article class='comment'><p>{C}</p></article></section></main>", [P, Q]),
+    "no article element": (f"<div id='nav'><a href=x>a</a></div><div><div><h2>Part</h2><p>{P}</p><p>{Q}</p></div></div><div class='footer'>{Q}</div>", ["Part", P, Q]),
+    "related links": (f"<article><p>{P}</p><div class='related-stories'><a href=x>One story, and one more</a> <a href=y>Two</a></div></article>", [P]),
+    "a notice": (f"<article><div class='cookie-notice'>We use cookies, many of them, in all places.</div><p>{P}</p></article>", [P]),
+    "only furniture names": (f"<div class='sidebar'><p>{P}</p><p>{Q}</p></div>", [P, Q]),
+    "hidden text": (f"<article><p>{P}</p><p hidden>{Q}</p><p style='display: none'>{Q}</p><div aria-hidden=true>{Q}</div></article>", [P]),
+    "roles": (f"<div role=banner>{Q}</div><article><p>{P}</p><div role=search>{Q}</div></article>", [P]),
+    "forms, asides and scripts": (f"<article><p>{P}</p><form><p>{Q}</p></form><aside>{Q}</aside><script>x</script><style>y</style></article>", [P]),
+    "lists and tables": (f"<article><p>{P}</p><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table></article>", [P, "one", "two", "a", "b", "c"]),
+    "references and white space": (f"<article><p>{P}</p><p>a &amp;\n\t b&nbsp;c</p></article>", [P, "a & b c"]),
+    "siblings of the best container": (f"<div><div><p>{P}</p><p>{Q}</p></div><h2>Next</h2><p>Short one</p><p><a href=x>links only</a></p></div>", [P, Q, "Next", "Short one"]),
+}
+
+
+@pytest.mark.parametrize("name", LABELLED)
+def test_labelled_pages(name):
+    page, blocks = LABELLED[name]
+    assert main_text(f"<html><body>{page}</body></html>").split("\n") == blocks
+
+
+def test_depth_and_stray_tags_take_linear_time():
+    import time
+
+    def took(page):
+        t = time.perf_counter()
+        main_text(page)
+        return time.perf_counter() - t
+
+    for make in (lambda n: "<div>" * n + "x" * 40, lambda n: "<span>" * n + "<div></div>" * n, lambda n: "<span>" * n + "</b>" * n, lambda n: "<div>text, long enough to be scored" * n, lambda n: "<dl><dd><dl>" + "<span>" * n + "<dt></dt>" * n):
+        small = min(took(make(8_000)) for _ in range(2))
+        assert took(make(64_000)) < 24 * small + 1
+
+
 def test_extraction_query(spark, sf):
     rows = queries.op7_html_extraction(spark, sf).collect()
     pages = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()}
