@@ -16,7 +16,8 @@ stated query set: it is taken in blocks of ``BLOCK_WORDS`` words, which bounds
 what the driver holds and broadcasts; each block is searched in all rows.
 
 Defined results: null and empty texts match nothing, and so do items without
-words; items shorter than ``SHORT`` words must occur whole; repeated rows,
+words; items shorter than ``SHORT`` words must occur whole, and so long as they
+are, items of any number of words and distinct words are searched; repeated rows,
 items and matches within a text give one row for each pair of distinct ids; ties
 go to the first window; an empty benchmark or table gives no rows; other columns are ignored.
 """
@@ -35,18 +36,20 @@ LCS = 0.6
 ANSWER = 0.5
 #: Cosine from which a window is a candidate: LCS times what the window farthest from a passage holds of it (7/8 from
 #: 16 words on), less the scatter of RANK coordinates; lower still for passages shorter than their window, which holds other words too, or longer, which it holds in part.
-COSINE = 0.45
+COSINE = 0.4
 RANK, SKETCH = 64, 80
 #: Words of a passage in the statistics; window lengths; words of a block of a window.
 PASSAGE, WINDOWS, UNIT = 32, (8, 16, 32, 64), 4
 SHORT = 8
-#: Words of the benchmark handled at a time.
-BLOCK_WORDS = 60_000
+#: Words of the benchmark handled at a time, answers included.
+BLOCK_WORDS = 200_000
+#: Words of items multiplied at a time on the driver; bits of an item's filter of words.
+OWN_WORDS, FILTER = 50_000, 2048
 #: Words whose sums travel together, 4 x ROWS x SKETCH bytes.
 ROWS = 16
 #: Words of a block that are frequent enough to be summed as a dense matrix.
 DENSE = 512
-#: Ids up to which documents are dropped by a broadcast join, and by a shuffle beyond.
+#: Texts up to which documents are dropped by a broadcast join (16 bytes each), and by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 
 _GAPS = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
@@ -92,7 +95,7 @@ class _Lookup:
 
 
 def _encoded(vocabulary):
-    """Each text's words as indexes into the vocabulary, two bytes each."""
+    """Each text's words as indexes into the vocabulary, four bytes each."""
 
     def run(batches):
         import pyarrow as pa
@@ -101,17 +104,17 @@ def _encoded(vocabulary):
         for b in batches:
             for row, data, offsets in text_chunks(b.column("text")):
                 words, bounds = hashed_words(data, offsets, _GAPS)
-                terms = look(words).astype(np.uint16)
+                terms = look(words).astype(np.uint32)
                 n = len(offsets) - 1
-                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds * 2), pa.py_buffer(terms)]).cast(pa.binary())
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds * 4), pa.py_buffer(terms)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, n), column], names=["doc_id", "terms"])
 
     return run
 
 
-def _term_chunks(column, limit: int = 1 << 18):
+def _term_chunks(column, limit: int = 1 << 19):
     for row, data, offsets in text_chunks(column, limit):
-        yield row, data[int(offsets[0]) : int(offsets[-1])].copy().view(np.uint16).astype(np.int64), (offsets - offsets[0]) // 2
+        yield row, data[int(offsets[0]) : int(offsets[-1])].copy().view(np.uint32).astype(np.int64), (offsets - offsets[0]) // 4
 
 
 def _layout(terms: np.ndarray, bounds: np.ndarray, length: int, v: int, pad: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,12 +214,9 @@ def latent_space(coded: DataFrame, vocabulary: np.ndarray, items: list[np.ndarra
     for k, x in parts:
         b[k * ROWS : (k + 1) * ROWS] = np.frombuffer(x, np.float64).reshape(ROWS, SKETCH)
     b = b[:v]
-    own = np.zeros((len(items), v))
-    for i, w in enumerate(items):
-        np.add.at(own[i], _terms(vocabulary, w), 1)
-    own *= idf
     spread = np.trace(omega.T @ b) * v / min(v, SKETCH)  # about the corpus's share of the trace
-    b = b + (spread or 1.0) / (own**2).sum() * (own.T @ (own @ omega))
+    gram, norm = _own_gram([_terms(vocabulary, w) for w in items], idf, omega)
+    b += (spread or 1.0) / norm * gram
     # Gram ~ b (omega^T b)^-1 b^T: its eigenvectors are the right singular vectors
     c = omega.T @ b
     val, vec = np.linalg.eigh((c + c.T) / 2)
@@ -228,6 +228,30 @@ def latent_space(coded: DataFrame, vocabulary: np.ndarray, items: list[np.ndarra
     return idf, idf[:, None] * u / np.maximum(s, s[0] * 1e-6)
 
 
+def _own_gram(items: list[np.ndarray], idf: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, float]:
+    """(X^T X omega, |X|^2) for the items' TF-IDF rows X, of which only the words that occur are held."""
+    v = len(idf)
+    out, norm = np.zeros(omega.shape), 0.0
+    at = 0
+    while at < len(items):
+        end, words = at, 0
+        while end < len(items) and (words < OWN_WORDS or end == at):
+            words += len(items[end])
+            end += 1
+        key, n = np.unique(np.concatenate([t + k * v for k, t in enumerate(items[at:end])]), return_counts=True)
+        row, term = key // v, key % v
+        x = n * idf[term]
+        norm += float(x @ x)
+        edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        y = np.repeat(np.add.reduceat(x[:, None] * omega[term], edge, axis=0), np.diff([*edge, len(row)]), axis=0)
+        order = np.argsort(term, kind="stable")
+        ts = term[order]
+        edge = np.flatnonzero(np.concatenate(([True], ts[1:] != ts[:-1])))
+        out[ts[edge]] += np.add.reduceat((x[:, None] * y)[order], edge, axis=0)
+        at = end
+    return out, norm
+
+
 def _lcs(masks: dict[int, int], length: int, region: list[int]) -> int:
     """Length of the longest common subsequence, with one bit for each word of the item."""
     full = (1 << length) - 1
@@ -248,9 +272,10 @@ class _Items:
         self.turn = np.vstack([turn, np.zeros((1, turn.shape[1]))]).astype(np.float32)
         self.terms = [_terms(vocabulary, w) for w in words]
         self.sizes = np.array([len(t) for t in self.terms])
-        self.has = np.zeros((len(words), len(vocabulary) + 1), bool)
+        # one bit for each of FILTER classes of words: a word's bit is set if the item may have it
+        self.bits = np.zeros((len(words), FILTER // 8), np.uint8)
         for i, t in enumerate(self.terms):
-            self.has[i, t] = True
+            np.bitwise_or.at(self.bits[i], (t % FILTER) >> 3, (1 << (t & 7)).astype(np.uint8))
         self.masks, self.answer = [], []
         classes: dict[int, tuple[list, list, list]] = {w: ([], [], []) for w in WINDOWS}
         for i, t in enumerate(self.terms):
@@ -275,13 +300,15 @@ class _Items:
 
 
 def _enough(items: _Items, terms, bounds, text, item, start, w) -> np.ndarray:
-    """Whether the text around each window has words of the item in sufficient number, in whatever order."""
+    """Whether the text around each window may have words of the item in sufficient number, in whatever order."""
     n = items.sizes[item]
     before = np.minimum(n, 2 * max(WINDOWS))
     lo = np.maximum(bounds[text], bounds[text] + start - before)
     hi = np.minimum(bounds[text + 1], bounds[text] + start + w + before)
     at = lo[:, None] + np.arange(int((hi - lo).max()))
-    shared = items.has[item[:, None], terms[np.minimum(at, len(terms) - 1)]] & (at < hi[:, None])
+    t = terms[np.minimum(at, len(terms) - 1)]
+    known = (t < len(items.vocabulary)) & (at < hi[:, None])
+    shared = (items.bits[item[:, None], (t % FILTER) >> 3] >> (t & 7)).astype(bool) & known
     return (shared.sum(1) >= np.where(n < SHORT, n, LCS * n)) | (n > before)
 
 
@@ -332,7 +359,7 @@ def _search(shared):
                     maybe[k : k + 8192] = _enough(items, terms, bounds, *(x[k : k + 8192] for x in (t, i, start, w)))
                 t, i, start, cos, w = (x[maybe] for x in (t, i, start, cos, w))
                 order = np.lexsort((start, -cos, i, t))
-                done = None
+                done, tried = None, set()
                 ids = b.column("doc_id")
                 for k in order.tolist():
                     pair = int(t[k]), int(i[k])
@@ -342,6 +369,9 @@ def _search(shared):
                     n = len(item)
                     lo = bounds[pair[0]] + max(0, int(start[k]) - n)
                     hi = min(bounds[pair[0] + 1], bounds[pair[0]] + int(start[k]) + int(w[k]) + n)
+                    if (pair, lo, hi) in tried:  # windows of a long item often have one surrounding
+                        continue
+                    tried.add((pair, lo, hi))
                     region = terms[lo:hi].tolist()
                     have = set(region)
                     masks = items.masks[pair[1]]
@@ -356,7 +386,7 @@ def _search(shared):
                         done = pair
                         for col, x in zip(out, (ids[row0 + pair[0]].as_py(), int(items.ids[pair[1]]), got / n, float(cos[k]), int(start[k]))):
                             col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.int64())], names=["doc_id", "item_id", "overlap", "cosine", "near_word"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field("doc_id").type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.int64())], names=["doc_id", "item_id", "overlap", "cosine", "near_word"])
 
     return run
 
@@ -370,24 +400,32 @@ def _blocks(benchmark: DataFrame):
         w = _words([r[1]])[0]
         if not len(w):
             continue
-        if size + len(w) > BLOCK_WORDS and block:
+        answer = _words([r[2]])[0] if r[2] else None
+        n = len(w) + (0 if answer is None else len(answer))
+        if size + n > BLOCK_WORDS and block:
             yield block
             block, size = [], 0
-        block.append((r[0], w, _words([r[2]])[0] if r[2] else None))
-        size += len(w)
+        block.append((r[0], w, answer))
+        size += n
     if block:
         yield block
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap, cosine, near_word) for every document and item that match."""
+    return _matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The same for documents known by a ``doc_id`` of any type."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    schema = "doc_id long, item_id long, overlap double, cosine double, near_word long"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"))
+    schema = f"doc_id {kind}, item_id long, overlap double, cosine double, near_word long"
     found = None
     for block in _blocks(benchmark):
         vocabulary = np.unique(np.concatenate([x for _, w, a in block for x in (w, a) if x is not None]))
-        coded = durable(docs.mapInArrow(_encoded(spark.sparkContext.broadcast(vocabulary)), "doc_id long, terms binary"))
+        coded = durable(docs.mapInArrow(_encoded(spark.sparkContext.broadcast(vocabulary)), f"doc_id {kind}, terms binary"))
         idf, turn = latent_space(coded, vocabulary, [x[1] for x in block])
         items = _Items(np.array([x[0] for x in block]), [x[1] for x in block], [x[2] for x in block], vocabulary, idf, turn)
         part = coded.mapInArrow(_search(spark.sparkContext.broadcast(items)), schema)
@@ -399,8 +437,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows without an id stay."""
-    ids = durable(find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leak")).where("__leak IS NOT NULL").distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("__leak"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item. A row is known by its text's digest, so ids may be null or repeated."""
+    digest = F.unhex(F.md5(F.col("text").cast("string")))
+    leaks = durable(_matches(docs.select(digest.alias("doc_id"), "text").where("text IS NOT NULL"), benchmark).select(F.col("doc_id").alias("__leak")).distinct())
+    if leaks.count() <= BROADCAST_IDS:
+        leaks = F.broadcast(leaks)
+    return docs.join(leaks, digest == F.col("__leak"), "left_anti")
