@@ -1,19 +1,22 @@
 """Toxicity by character n-grams, a linear classifier on naive Bayes features.
 
 A text's features are the distinct n-grams of its bytes (A-Z as a-z, white
-space as one kind), hashed. Each feature's value is its naive Bayes log-count
-ratio between the classes, and a logistic model over the most telling ones is
-fitted to the labels (naive Bayes features, linear weights).
+space as one kind), hashed into 2^BITS slots. Each slot's value is its naive
+Bayes log-count ratio between the classes, and a logistic model over all slots
+is fitted to the labels (naive Bayes features, linear weights). No slot is left
+out: every n-gram of a text counts in its score with its slot's weight;
+the weight of a slot that no labelled text has is zero, as nothing is known of it.
 
-Fitting takes at most ``FIT_ROWS`` labelled rows, those whose id hashes lowest;
-the rest of the corpus is only scored, over whole texts. Counts leave a task as
-one row for each hash it saw, and the driver gets ``FEATURES`` of them.
+Fitting takes the labelled rows whose ids hash lowest, at most ``FIT_ROWS`` of
+them and at most ``FIT_BYTES`` of text (the row that reaches the bound is the
+last); the rest of the corpus is only scored, over whole texts. The driver holds
+the fitted rows' slots, four bytes for each byte and size of n-gram at most.
 
 Defined results: null and empty texts have no features and get the score of the
 intercept; null labels are ignored; without labels of both classes every score
-is the share of label 1 (0.5 if there are none); repeated rows score alike;
-ties among features go to the smaller hash; input columns named like an output
-column are replaced.
+is the share of label 1 (0.5 if there are none); repeated rows score alike; a
+row's several labels are several training rows; input columns named like an
+output column are replaced.
 """
 
 from __future__ import annotations
@@ -22,128 +25,120 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out, text_chunks
+from ._shared import durable, held_out, text_chunks
 from .rule_quality import training_rows
 
-#: Labelled rows that a fit uses at most.
-FIT_ROWS = 8192
+#: Labelled rows that a fit uses at most, and bytes of their texts.
+FIT_ROWS, FIT_BYTES = 4096, 12 << 20
 BITS = 20
 SIZES = (3, 4, 5, 6)
-#: Features that the linear model weighs.
-FEATURES = 2048
-#: A feature must occur in so many labelled texts.
-LEAST = 3
 _CODE = np.random.RandomState(11).randint(1, 1 << 31, 256, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+#: Bytes up to which a text's slots are sorted rather than marked in a table; the result is the same.
+MARKED = 400
 _CODE[65:91] = _CODE[97:123]
 _CODE[[9, 10, 11, 12, 13]] = _CODE[32]
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, distinct and sorted, of texts laid end to end.
-
-    ``wanted`` maps a hash to a feature or -1; without it the hash is the feature.
-    """
-    lo, hi = int(offsets[0]), int(offsets[-1])
-    ends = np.repeat(offsets[1:] - lo, np.diff(offsets)).astype(np.int64)
-    code = _CODE[data[lo:hi]]
-    found_at, found = [], []
-    h = code
+def _slots(code: np.ndarray) -> list[np.ndarray]:
+    """For each size, the slot of the n-gram at every place of the buffer."""
+    out, h = [], code
     for n in range(2, max(SIZES) + 1):
         if len(code) < n:
             break
         h = h[: len(code) - n + 1] * np.uint32(0x01000193) + code[n - 1 :]
-        if n not in SIZES:
+        if n in SIZES:
+            x = (h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+            out.append(((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS))
+    return out
+
+
+def grams(data: np.ndarray, offsets: np.ndarray):
+    """The sorted distinct slots of each of several texts laid end to end."""
+    lo = int(offsets[0])
+    slots = _slots(_CODE[data[lo : int(offsets[-1])]])
+    seen = np.zeros(1 << BITS, bool)
+    for s, e in zip((offsets[:-1] - lo).tolist(), (offsets[1:] - lo).tolist()):
+        found = [x[s : e - n + 1] for n, x in zip(SIZES, slots) if e - s >= n]
+        if e - s <= MARKED:
+            yield np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
             continue
-        x = (h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-        x = (x ^ (x >> np.uint32(15))) >> np.uint32(32 - BITS) if BITS == 32 else ((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
-        if wanted is not None:
-            f = wanted[x]
-            at = np.flatnonzero(f >= 0)
-            f = f[at].astype(np.int64)
-        else:
-            at, f = np.arange(len(x)), x.astype(np.int64)
-        ok = at + n <= ends[at]  # an n-gram lies within one text
-        found_at.append(at[ok])
-        found.append(f[ok])
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    text = np.searchsorted(offsets - lo, np.concatenate(found_at), side="right") - 1
-    key = np.unique((text << BITS) | np.concatenate(found))
-    return key >> BITS, key & ((1 << BITS) - 1)
-
-
-def _counts(batches):
+        for x in found:
+            seen[x] = True
+        at = np.flatnonzero(seen)
+        seen[at] = False
+        yield at
+
+
+def _present(batches):
     import pyarrow as pa
 
-    total = np.zeros((2, 1 << BITS), np.int32)
-    seen = False
     for b in batches:
-        label = b.column("label").to_numpy(zero_copy_only=False)
         for row, data, offsets in text_chunks(b.column("text")):
-            t, f = grams(data, offsets)
-            for c in (0, 1):
-                total[c] += np.bincount(f[label[row + t] == c], minlength=1 << BITS).astype(np.int32)
-            seen = True
-    if seen:
-        hit = np.flatnonzero(total.sum(0) >= 1)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[0, hit].astype(np.int64)), pa.array(total[1, hit].astype(np.int64))], names=["h", "n0", "n1"])
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(hashes, weights, intercept) of the fitted model."""
-    # the sample is small: a few tasks count it, so a hash leaves few tasks
-    rows = training_rows(docs, labels, target, limit).select("label", "text").repartition(8)
-    from ._shared import durable
-
-    rows = durable(rows)
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+            slots = [x.astype(np.int32).tobytes() for x in grams(data, offsets)]
+            yield pa.RecordBatch.from_arrays([b.column("label").slice(row, len(slots)), pa.array(slots, pa.binary())], names=["label", "f"])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int = FIT_ROWS) -> tuple[np.ndarray, float]:
+    """(weight of each slot, intercept) of the fitted model."""
+    spark = docs.sparkSession
+    rows = durable(training_rows(docs, labels, target, limit).select("__id", "label", "text"))
+    sizes = rows.select("__id", "label", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).orderBy(F.xxhash64(F.col("__id").cast("long")), "__id", "label", "n").collect()
+    ids, total = set(), 0
+    for r in sizes:  # whole ids, so that repeated rows stay together
+        if total >= FIT_BYTES and r[0] not in ids:
+            break
+        ids.add(r[0])
+        total += r[2]
+    if len(ids) < len({r[0] for r in sizes}):
+        rows = rows.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], f"id {rows.schema['__id'].dataType.simpleString()}")), F.col("__id") == F.col("id"), "left_semi")
+    got = rows.select("label", "text").repartition(8).mapInArrow(_present, "label int, f binary").collect()
+    got.sort(key=lambda r: (bytes(r[1]), r[0]))
+    y = np.array([r[0] for r in got], np.float32)
+    n1 = float(y.sum())
+    n0 = len(y) - n1
     if not n0 or not n1:
         p = min(max(n1 / (n0 + n1) if n0 + n1 else 0.5, 1e-4), 1 - 1e-4)
-        return np.empty(0, np.int64), np.empty(0), float(np.log(p / (1 - p)))
-    ratio = F.log((F.col("n1") + 1) / (n1 + 2)) - F.log((F.col("n0") + 1) / (n0 + 2))
-    # telling: a strong ratio on many texts
-    tell = F.abs(ratio) * F.sqrt(F.col("n1") * (n0 / n1) + F.col("n0"))
-    counted = rows.coalesce(8).mapInArrow(_counts, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    top = counted.where(F.col("n0") + F.col("n1") >= LEAST).select("h", ratio.alias("r"), tell.alias("tell")).orderBy(F.desc("tell"), "h").limit(FEATURES).collect()
-    hashes = np.array([r[0] for r in top], np.int64)
-    r = np.array([r[1] for r in top])
-    table = np.full(1 << BITS, -1, np.int16)
-    table[hashes] = np.arange(len(hashes))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def present(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            label = b.column("label").to_numpy(zero_copy_only=False)
-            for row, data, offsets in text_chunks(b.column("text")):
-                t, f = grams(data, offsets, shared.value)
-                edges = np.searchsorted(t, np.arange(len(offsets)))
-                yield pa.RecordBatch.from_arrays([pa.array(label[row : row + len(offsets) - 1].astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(f.astype(np.int32)))], names=["label", "f"])
-
-    got = sorted((list(x[1]), x[0]) for x in rows.mapInArrow(present, "label int, f array<int>").collect())
-    a = np.zeros((len(got), len(hashes)), np.float32)
-    for i, (f, _) in enumerate(got):
-        a[i, f] = 1
-    y = np.array([g[1] for g in got], np.float32)
-    a *= r.astype(np.float32)
-    w, b = _logistic(a, y)
-    return hashes, w * r, b
-
-
-def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Accelerated gradient on the mean log loss + ridge / 2 * |w|^2."""
-    n = len(y)
-    v = np.ones(a.shape[1], np.float32)
-    for _ in range(20):
-        v = a.T @ (a @ v)
+        return np.zeros(1 << BITS), float(np.log(p / (1 - p)))
+    # slots that training rows have, numbered
+    flat = np.concatenate([np.frombuffer(r[1], np.int32) for r in got])
+    starts = np.cumsum([0, *(len(r[1]) // 4 for r in got)])
+    del got
+    used, flat = np.unique(flat, return_inverse=True)
+    flat = flat.astype(np.int32)
+    label = np.repeat(y, np.diff(starts))
+    c1 = np.bincount(flat, label, len(used))
+    c0 = np.bincount(flat, None, len(used)) - c1
+    del label
+    ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
+    w, b = _logistic(flat, starts, ratio.astype(np.float32), y)
+    weights = np.zeros(1 << BITS)
+    weights[used] = w * ratio
+    return weights, b
+
+
+def _logistic(flat: np.ndarray, starts: np.ndarray, ratio: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Accelerated gradient on the mean log loss + ridge / 2 * |w|^2, over rows of slots with values ``ratio``."""
+    n, m = len(y), len(ratio)
+    sizes = np.diff(starts)
+    full = np.flatnonzero(sizes)
+
+    def times(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, np.float32)
+        out[full] = np.add.reduceat((w * ratio).astype(np.float32)[flat], starts[:-1][full])
+        return out
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.bincount(flat, np.repeat(r, sizes), m) * ratio
+
+    v = np.ones(m, np.float32)
+    for _ in range(8):
+        v = back(times(v))
         v /= np.linalg.norm(v) + 1e-12
-    lip = 0.25 * (float(np.linalg.norm(a @ v)) ** 2 / n * 1.1 + 1) + ridge
-    w, b, z, zb, t = np.zeros(a.shape[1]), 0.0, np.zeros(a.shape[1]), 0.0, 1.0
+    lip = 0.25 * (float(np.linalg.norm(times(v))) ** 2 / n * 1.2 + 1) + ridge
+    w, b, z, zb, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
     for _ in range(steps):
-        r = 1 / (1 + np.exp(-np.clip(a @ z.astype(np.float32) + zb, -30, 30))) - y
-        nw, nb = z - (a.T @ r / n + ridge * z) / lip, zb - r.mean() / lip
+        r = 1 / (1 + np.exp(-np.clip(times(z) + zb, -30, 30))) - y
+        nw, nb = z - (back(r) / n + ridge * z) / lip, zb - r.mean() / lip
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb, t = nw + (t - 1) / s * (nw - w), nb + (t - 1) / s * (nb - b), s
         w, b = nw, nb
@@ -152,20 +147,17 @@ def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", cut: float = 0.5, limit: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``; score is the probability of label 1."""
-    hashes, weights, intercept = fit_toxicity(docs, labels, target, limit)
-    table = np.full(1 << BITS, -1, np.int16)
-    table[hashes] = np.arange(len(hashes))
-    shared = docs.sparkSession.sparkContext.broadcast((table, weights, intercept))
+    weights, intercept = fit_toxicity(docs, labels, target, limit)
+    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), intercept))
 
     def score(batches):
         import pyarrow as pa
 
-        table, weights, intercept = shared.value
+        weights, intercept = shared.value
         for b in batches:
             out = np.zeros(len(b))
             for row, data, offsets in text_chunks(b.column("text")):
-                t, f = grams(data, offsets, table)
-                out[row : row + len(offsets) - 1] = np.bincount(t, weights[f] if len(f) else None, len(offsets) - 1)
+                out[row : row + len(offsets) - 1] = [weights[x].sum(dtype=np.float64) for x in grams(data, offsets)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(out + intercept, -500, 500))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
