@@ -28,7 +28,7 @@ CAPACITY = 2048
 END = 0
 #: Fixed value: the pre-tokenizer pattern that belongs to the 50k byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ENCODERS: dict[tuple[str, bool], object] = {}
+_ENCODERS: dict[str, object] = {}
 
 
 def vocabulary() -> str:
@@ -37,38 +37,34 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str, added: bool = False):
-    """A function text -> ids for a tokenizer file, made once in a process.
+def encoder(path: str):
+    """A function text -> ids as the plain call of the tokenizer file gives them, made once in a process.
 
     A ``.tiktoken`` file beside a byte-level ``.json`` file of the same name
-    holds the same vocabulary as ranks; it gives the same ids several times as fast.
-    ``added`` reads the file's added tokens as such, as the plain tokenizer call does;
-    otherwise they are text.
+    holds the same vocabulary as ranks; with the added tokens that the ``.json``
+    file lists it gives the same ids several times as fast.
     """
     import os
 
-    if (path, added) not in _ENCODERS:
+    if path not in _ENCODERS:
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):
             import json
 
             import tiktoken
 
-            special = {}
-            if added:
-                with open(path, encoding="utf-8") as f:
-                    special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            with open(path, encoding="utf-8") as f:
+                special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens=special).encode_to_numpy
-            _ENCODERS[path, added] = lambda text: encode(text, allowed_special=set(special), disallowed_special=())
+            _ENCODERS[path] = lambda text: encode(text, allowed_special=set(special), disallowed_special=())
         else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = not added
-            _ENCODERS[path, added] = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
-    return _ENCODERS[path, added]
+            _ENCODERS[path] = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
+    return _ENCODERS[path]
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -116,7 +112,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
     def pieces(batches):
         import pyarrow as pa
 
-        encode = encoder(path, added=True)
+        encode = encoder(path)
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
@@ -140,7 +136,11 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (any columns, of which ``doc_id``, ``piece`` and ``length`` are read)."""
+    """Add sequence_id and offset to pieces (any columns, of which ``doc_id``, ``piece`` and ``length`` are read).
+
+    Columns that are named like the added ones (or ``__rank``, ``__part``) are replaced.
+    """
+    pieces = pieces.drop("sequence_id", "offset", "__rank", "__part")
     spark = pieces.sparkSession
     histogram = pieces.groupBy("length").count().collect()  # one row for each length up to the capacity
     runs, _ = plan_best_fit({r[0]: r[1] for r in histogram}, capacity)

@@ -99,10 +99,9 @@ def test_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     encode = encoder(vocabulary())
     rng = random.Random(5)
-    texts = ["", " ", "Hello  world\n\n\tx", "<|endoftext|>", "é日本\u2003𝒳 don't I'LL", "a" * 3000, "1234567 89,-!!"]
+    texts = ["", " ", "Hello  world\n\n\tx", "<|endoftext|>", "in<|endoftext|>side", "<|endoftext|><|endoftext|>", "<|endoftext|> x <|endoftext|>", "<|endoftext", "é日本\u2003𝒳 don't I'LL", "a" * 3000, "1234567 89,-!!"]
     texts += ["".join(rng.choice("ab C\n\t .,'!1é日ß\u00a0") for _ in range(200)) for _ in range(50)]
     for x in texts:
         assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
@@ -153,3 +152,5 @@ def test_packing_edges(spark):
     one = spark.createDataFrame([(i, 0, 7) for i in range(1000)], "doc_id long, piece int, length long")  # a single hot length
     placed = pack(one, 20).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in placed}) == 1000 and len({r["sequence_id"] for r in placed}) == 500
+    clash = pack(one.selectExpr("*", "'x' AS sequence_id", "'y' AS offset", "'z' AS __rank"), 20)
+    assert clash.columns == ["doc_id", "piece", "length", "sequence_id", "offset"] and len({(r["sequence_id"], r["offset"]) for r in clash.collect()}) == 1000

@@ -35,8 +35,14 @@ def test_stage_edges(spark, sf):
     by = dict(cp.STAGES)
     assert by["quality"](spark, df, sf).columns == df.columns
     kept = sorted(r["doc_id"] or 0 for r in by["near_dedup"](spark, df, sf).collect())
-    assert kept == [0, 1, 2, 3, 4]
+    assert kept == [1, 2, 3, 4]
+    more = df.unionByName(spark.createDataFrame([(3, "h i j k l m n o", "en", "s", 13, 5), (None, "p q r s t u", "en", "s", 13, 5), (9, "p q r s t u", "en", "s", 13, 5)], df.schema))
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in by["near_dedup"](spark, more, sf).collect())
+    assert kept == [(1, ""), (2, ""), (3, "a b c d e f g"), (3, "h i j k l m n o"), (4, "a@b.c"), (9, "p q r s t u")]
     assert by["decontamination"](spark, df, sf).count() == 6
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    leaky = spark.createDataFrame([(None, leak, "en", "s", 13, 5), (1, leak, "en", "s", 13, 5), (1, "clean text", "en", "s", 13, 5)], df.schema)
+    assert [r["text"] for r in by["decontamination"](spark, leaky, sf).collect()] == ["clean text"]
     clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in by["pii"](spark, df, sf).collect()}
     assert clean[4] == ("[EMAIL]", 7) and clean[1] == (None, None) and clean[2] == ("", 0)
     assert by["packing"](spark, df, sf).count() == 6
