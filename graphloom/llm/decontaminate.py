@@ -36,15 +36,17 @@ LCS = 0.6
 ANSWER = 0.5
 #: Cosine from which a window is a candidate: LCS times what the window farthest from a passage holds of it (7/8 from
 #: 16 words on), less the scatter of RANK coordinates; lower still for passages shorter than their window, which holds other words too, or longer, which it holds in part.
-COSINE = 0.4
+COSINE = 0.45
 RANK, SKETCH = 64, 80
 #: Words of a passage in the statistics; window lengths; words of a block of a window.
 PASSAGE, WINDOWS, UNIT = 32, (8, 16, 32, 64), 4
 SHORT = 8
 #: Words of the benchmark handled at a time, answers included.
 BLOCK_WORDS = 200_000
-#: Words of items multiplied at a time on the driver; bits of an item's filter of words.
-OWN_WORDS, FILTER = 50_000, 2048
+#: Words that an item counts for at least, which bounds the items of a block; classes of an item's filter of words.
+ITEM_WORDS, FILTER = 32, 2048
+#: Words of items multiplied at a time on the driver.
+OWN_WORDS = 50_000
 #: Words whose sums travel together, 4 x ROWS x SKETCH bytes.
 ROWS = 16
 #: Words of a block that are frequent enough to be summed as a dense matrix.
@@ -272,10 +274,10 @@ class _Items:
         self.turn = np.vstack([turn, np.zeros((1, turn.shape[1]))]).astype(np.float32)
         self.terms = [_terms(vocabulary, w) for w in words]
         self.sizes = np.array([len(t) for t in self.terms])
-        # one bit for each of FILTER classes of words: a word's bit is set if the item may have it
-        self.bits = np.zeros((len(words), FILTER // 8), np.uint8)
+        # which of FILTER classes of words an item has; words outside the vocabulary are in a class that none has
+        self.may = np.zeros((len(words), FILTER + 1), bool)
         for i, t in enumerate(self.terms):
-            np.bitwise_or.at(self.bits[i], (t % FILTER) >> 3, (1 << (t & 7)).astype(np.uint8))
+            self.may[i, t % FILTER] = True
         self.masks, self.answer = [], []
         classes: dict[int, tuple[list, list, list]] = {w: ([], [], []) for w in WINDOWS}
         for i, t in enumerate(self.terms):
@@ -299,16 +301,14 @@ class _Items:
         self.classes = {w: (np.array(i), np.array(z, np.float32).T, np.array(c, np.float32)) for w, (i, z, c) in classes.items() if i}
 
 
-def _enough(items: _Items, terms, bounds, text, item, start, w) -> np.ndarray:
+def _enough(items: _Items, classes, bounds, text, item, start, w) -> np.ndarray:
     """Whether the text around each window may have words of the item in sufficient number, in whatever order."""
     n = items.sizes[item]
     before = np.minimum(n, 2 * max(WINDOWS))
     lo = np.maximum(bounds[text], bounds[text] + start - before)
     hi = np.minimum(bounds[text + 1], bounds[text] + start + w + before)
     at = lo[:, None] + np.arange(int((hi - lo).max()))
-    t = terms[np.minimum(at, len(terms) - 1)]
-    known = (t < len(items.vocabulary)) & (at < hi[:, None])
-    shared = (items.bits[item[:, None], (t % FILTER) >> 3] >> (t & 7)).astype(bool) & known
+    shared = items.may[item[:, None], classes[np.minimum(at, len(classes) - 1)]] & (at < hi[:, None])
     return (shared.sum(1) >= np.where(n < SHORT, n, LCS * n)) | (n > before)
 
 
@@ -355,8 +355,9 @@ def _search(shared):
                     continue
                 t, i, start, cos, w = (np.concatenate(x) for x in zip(*hits))
                 maybe = np.ones(len(t), bool)
+                classes = np.where(terms < v, terms % FILTER, FILTER)
                 for k in range(0, len(t), 8192):
-                    maybe[k : k + 8192] = _enough(items, terms, bounds, *(x[k : k + 8192] for x in (t, i, start, w)))
+                    maybe[k : k + 8192] = _enough(items, classes, bounds, *(x[k : k + 8192] for x in (t, i, start, w)))
                 t, i, start, cos, w = (x[maybe] for x in (t, i, start, cos, w))
                 order = np.lexsort((start, -cos, i, t))
                 done, tried = None, set()
@@ -401,7 +402,7 @@ def _blocks(benchmark: DataFrame):
         if not len(w):
             continue
         answer = _words([r[2]])[0] if r[2] else None
-        n = len(w) + (0 if answer is None else len(answer))
+        n = max(ITEM_WORDS, len(w) + (0 if answer is None else len(answer)))
         if size + n > BLOCK_WORDS and block:
             yield block
             block, size = [], 0
