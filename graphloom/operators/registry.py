@@ -58,15 +58,24 @@ def disjoint_pairs(members: DataFrame, group: str | list[str], item: str) -> Dat
     return m.join(other, cond & (F.col(item) < F.col("b"))).select(*keys, F.col(item).alias("a"), "b")
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", limit: int = 100) -> DataFrame:
-    """(node, ancestor, depth) over all paths, least depth for each pair. Cycles fail at the recursion limit."""
-    spark = edges.sparkSession
-    name = f"edges_{id(edges)}"
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView(name)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(limit))
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-          SELECT c, p, 1 FROM {name}
-          UNION ALL
-          SELECT up.node, e.p, up.depth + 1 FROM up JOIN {name} e ON up.ancestor = e.c)
-        SELECT node, ancestor, CAST(min(depth) AS INT) AS depth FROM up GROUP BY node, ancestor""")
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, depth): every pair once, at its least depth.
+
+    Semi-naive: each round joins the pairs found by the last one with the edges
+    and keeps those that are new, so the rows are pairs and never paths, and
+    circles end (their nodes are their own ancestors).
+    """
+    from ..plans.durable import cut
+
+    e = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").distinct())
+    new = e.select(F.col("c").alias("node"), F.col("p").alias("ancestor"))
+    done, depth = None, 1
+    while True:
+        level = cut(new.withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            return level if done is None else done
+        done = level if done is None else done.unionByName(level)
+        step = level.join(e, F.col("ancestor") == F.col("c")).select("node", F.col("p").alias("ancestor")).distinct()
+        new = step.join(done.select(F.col("node").alias("n"), F.col("ancestor").alias("a")), (F.col("node") == F.col("n")) & (F.col("ancestor") == F.col("a")), "left_anti")
+        depth += 1
+

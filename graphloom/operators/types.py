@@ -30,8 +30,6 @@ BUILTIN = {
     "yang:counter64": XSD + "unsignedLong",
     "inet:uri": XSD + "anyURI",
 }
-#: Length of a chain of typedefs from which it counts as circular.
-CHAIN = 16
 
 
 def builtin_map() -> Column:
@@ -54,19 +52,27 @@ def resolve_types(rows: DataFrame, typedefs: DataFrame, type_col: str, row_id: l
     """Add ``resolved``: the XSD type at the end of each type's typedef chain, xsd:string if it leads nowhere.
 
     ``typedefs`` is (name, base_type, order); with ``at``, a hop sees the latest
-    definition registered before the row, else the last one.
+    definition registered before the row, else the last one. Chains may have any
+    length; those that never end (definitions in a circle) fail.
     """
+    from ..plans.durable import cut
+
     if "order" not in typedefs.columns:
         typedefs = typedefs.withColumn("order", F.array(F.lit(0)))
     state = rows.select(*row_id, *([at] if at else []), F.col(type_col).alias("__t"))
-    found = None
-    for hop in range(CHAIN + 1):
-        state = state.withColumn("__iri", builtin_map()[F.col("__t")])
+    found, hop, names = None, 0, None
+    while True:
+        state = cut(state.withColumn("__iri", builtin_map()[F.col("__t")]))
         done = state.where("__iri IS NOT NULL").select(*row_id, F.col("__iri").alias("resolved"))
         found = done if found is None else found.unionByName(done)
         state = state.where("__iri IS NULL").drop("__iri")
-        if hop == CHAIN or state.isEmpty():
+        if state.isEmpty():
             break
+        if hop == 8:  # a chain without a circle has no more hops than there are definitions
+            names = typedefs.count()
+        if names is not None and hop > names:
+            raise RecursionError(f"typedefs refer to each other in a circle: {state.first()['__t']!r} is one of them")
+        hop += 1
         on = F.col("__t") == F.col("name")
         if at:
             on = on & (F.col("order") < F.col(at))

@@ -25,9 +25,13 @@ from .durable import cut
 
 DEPTH = 64
 DATA = ("container", "list", "leaf", "leaf-list")
+#: Texts that comments must have.
 ANYDATA = "Anydata: Arbitrary structure extension point"
 CONTAINMENT = "Containment relation (parent --> child)."
 POINTER = "A semantic pointer to a specific data node instance."
+GROUPING = "Grouping definition: "
+CONDITIONAL = "Conditional: exists when "
+UNION_PARENT = "Union Parent: "
 
 
 class SchemaGraph:
@@ -147,6 +151,8 @@ class SchemaGraph:
             if level.isEmpty():
                 break
             done = done.unionByName(level)
+        else:
+            raise RecursionError(f"data nodes nest deeper than {DEPTH} levels")
         leaves = linked.where("keyword NOT IN ('container', 'list')").join(done.select(F.col("ord").alias("u"), F.col("prov").alias("above")), F.col("up") == F.col("u"), "left")
         return cut(done.unionByName(leaves.select("ord", F.concat_ws("/", "above", "seg").alias("prov"))))
 
@@ -158,7 +164,7 @@ class SchemaGraph:
         said = self.stmts.where("keyword = 'error-message'").select("file", F.col("parent_id").alias("rule_id"), F.col("arg").alias("message"))
         rows = nodes.select("file", "stmt_id", "s").join(rules, ["file", "stmt_id"]).join(said, ["file", "rule_id"], "left")
         must, when = F.when(F.col("rule") == "must", F.col("xpath_text")), F.when(F.col("rule") == "when", F.col("xpath_text"))
-        return T.emit(rows, F.col("s"), T.text(T.SH + "condition", must), T.text(T.SH + "message", F.when(F.col("rule") == "must", F.col("message"))), T.text(T.SH + "deactivated", when), T.text(T.COMMENT, F.concat(F.lit("Conditional: exists when "), when)))
+        return T.emit(rows, F.col("s"), T.text(T.SH + "condition", must), T.text(T.SH + "message", F.when(F.col("rule") == "must", F.col("message"))), T.text(T.SH + "deactivated", when), T.text(T.COMMENT, F.concat(F.lit(CONDITIONAL), when)))
 
     def inner_nodes(self, prov: DataFrame) -> DataFrame:
         rows = self._inner().join(self.facts.select("file", "stmt_id", "description"), ["file", "stmt_id"], "left").join(prov, "ord", "left").withColumn("s", self.uri(F.col("path")))
@@ -204,7 +210,7 @@ class SchemaGraph:
         found = F.col("target").isNotNull()
         out.append(T.emit(refs, s, T.iri(T.TYPE, T.OBJECT_PROPERTY), T.text(self.ex + "xpathPath", F.when(found, F.col("ref"))), T.iri(T.RANGE, self.uri(F.col("target"))), T.iri(T.DOMAIN, F.when(found, domain))))
         unions = typed.where("kind = 'union'").withColumn("u", self._ex("types/Union_", F.col("name")))
-        out.append(T.emit(unions, s, T.iri(T.TYPE, T.OBJECT_PROPERTY), T.iri(T.RANGE, F.col("u")), T.iri(T.DOMAIN, domain), T.iri(T.TYPE, T.CLASS, s=F.col("u")), T.text(T.LABEL, F.concat(F.lit("Union Parent: "), "name"), s=F.col("u"))))
+        out.append(T.emit(unions, s, T.iri(T.TYPE, T.OBJECT_PROPERTY), T.iri(T.RANGE, F.col("u")), T.iri(T.DOMAIN, domain), T.iri(T.TYPE, T.CLASS, s=F.col("u")), T.text(T.LABEL, F.concat(F.lit(UNION_PARENT), "name"), s=F.col("u"))))
         parts = self.stmts.where("keyword = 'type' AND arg = 'identityref'").select(F.col("file").alias("union_file"), F.col("parent_id").alias("union_id"), F.col("stmt_id").alias("type_id2"))
         parts = parts.join(bases.select(F.col("file").alias("union_file"), F.col("type_id").alias("type_id2"), "base_name"), ["union_file", "type_id2"])
         out.append(T.emit(unions.join(parts, ["union_file", "union_id"]), self._ex("identity/", F.col("base_name")), T.iri(T.SUBCLASS, F.col("u"))))
@@ -271,7 +277,7 @@ class SchemaGraph:
 
     def grouping_classes(self) -> DataFrame:
         g = self.groupings.select("g_name", F.col("g_file").alias("file"), F.col("g_id").alias("stmt_id")).join(self.facts.select("file", "stmt_id", "description"), ["file", "stmt_id"], "left")
-        return T.emit(g, self._ex("grouping/", F.col("g_name")), T.iri(T.TYPE, T.CLASS), T.text(T.LABEL, F.col("g_name")), T.text(T.COMMENT, F.concat(F.lit("Grouping definition: "), "g_name")), T.text(T.COMMENT, F.col("description")))
+        return T.emit(g, self._ex("grouping/", F.col("g_name")), T.iri(T.TYPE, T.CLASS), T.text(T.LABEL, F.col("g_name")), T.text(T.COMMENT, F.concat(F.lit(GROUPING), "g_name")), T.text(T.COMMENT, F.col("description")))
 
     def operations(self) -> DataFrame:
         """rpc and notification classes."""

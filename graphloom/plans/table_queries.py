@@ -124,21 +124,16 @@ def stmt_dispatch(spark, sf_dir):
     return _t(spark, sf_dir, "events").where("event_type IS NOT NULL").select("event_id", F.concat(kind, F.lit("/"), F.col("user_id").cast("string")).alias("iri"), kind.alias("kind"))
 
 
-_LEAVES = [
-    ("part", "p_type", "union", True), ("part", "p_brand", "identityref", False), ("part", "p_size", "uint8", False), ("part", "p_name", "string", False),
-    ("lineitem", "l_partkey", "leafref", False), ("lineitem", "l_quantity", "decimal64", False), ("orders", "o_orderdate", "yang:date-and-time", False),
-    ("orders", "o_custkey", "leafref", False), ("events", "props", "instance-identifier", False), ("customer", "c_acctbal", "int64", False), ("nation", "n_name", None, False),
-]
-
-
 @_query("""
 SELECT s, k AS kind, CASE WHEN k IS NULL THEN NULL WHEN k = 'regular' THEN 'DatatypeProperty' ELSE 'ObjectProperty' END AS property FROM (
-  SELECT 'ex/' || t || '/' || l AS s, CASE WHEN y = 'identityref' THEN y WHEN y = 'leafref' THEN y WHEN u THEN 'union' WHEN y = 'instance-identifier' THEN y WHEN y IS NOT NULL THEN 'regular' END AS k
-  FROM (VALUES """ + ", ".join(f"('{t}','{c}',{'NULL' if y is None else repr(y)},{str(u).lower()})" for t, c, y, u in _LEAVES) + ") AS v(t, l, y, u))")
+  SELECT 'ex/part/' || p_partkey AS s, CASE WHEN p_size <= 10 THEN 'identityref' WHEN p_size <= 20 THEN 'leafref' WHEN p_brand < 'Brand#3' THEN 'union'
+    WHEN p_size <= 30 THEN 'instance-identifier' WHEN p_size <= 45 THEN 'regular' END AS k FROM part)""")
 def leaf_dispatch(spark, sf_dir):
-    rows = spark.createDataFrame(_LEAVES, "t string, l string, y string, u boolean")
-    kind = Y.leaf_kind(F.col("y"), F.col("u"))
-    return rows.select(F.concat(F.lit(EX), "t", F.lit("/"), "l").alias("s"), kind.alias("kind"), F.when(kind == "regular", "DatatypeProperty").when(kind.isNotNull(), "ObjectProperty").alias("property"))
+    """Each part is a leaf: its size says which type, its brand whether that is a union."""
+    size = F.col("p_size")
+    kinds = F.when(size <= 10, "identityref").when(size <= 20, "leafref").when(size <= 30, "instance-identifier").when(size <= 45, "string")
+    kind = Y.leaf_kind(kinds, F.col("p_brand") < "Brand#3")
+    return _t(spark, sf_dir, "part").select(_iri("part", "p_partkey").alias("s"), kind.alias("kind"), F.when(kind == "regular", "DatatypeProperty").when(kind.isNotNull(), "ObjectProperty").alias("property"))
 
 
 @_query("""
@@ -162,17 +157,17 @@ def type_resolve(spark, sf_dir):
 
 
 @_query("""
-WITH reg AS (SELECT DISTINCT '/' || array_to_string(list_slice(list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> ''), 1, 2), '/') AS path FROM pages WHERE page_id % 3 = 0),
+WITH reg AS (SELECT DISTINCT '/' || array_to_string(list_slice(list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> ''), 1, 2), '/') AS path FROM pages),
 tried AS (
   SELECT page_id, parts, unnest(generate_series(1, len(parts))) AS n
   FROM (SELECT page_id, list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> '') AS parts FROM pages)),
 hit AS (SELECT page_id, n, path FROM tried JOIN reg ON '/' || array_to_string(list_slice(parts, 1, n), '/') = path)
 SELECT page_id, arg_max(path, n) AS path FROM hit GROUP BY page_id""")
 def leafref_resolve(spark, sf_dir):
-    """The longest registered prefix of each URL's parts; every third page registers its host."""
+    """The longest registered prefix of each URL's parts; every page registers its first two."""
     parts = F.filter(F.split(F.regexp_replace("url", "[?#].*$", ""), "/"), lambda x: x != "")
     p = _t(spark, sf_dir, "pages").select("page_id", parts.alias("parts"))
-    reg = p.where("page_id % 3 = 0").select(F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, 2), "/")).alias("path")).distinct()
+    reg = p.select(F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, 2), "/")).alias("path")).distinct()
     return R.longest_prefix(p.where("parts IS NOT NULL"), reg, "parts", ["page_id"])
 
 
@@ -316,11 +311,12 @@ def containment(spark, sf_dir):
     return R.containment(_place_triples(spark, sf_dir).select("path"))
 
 
-@_query("SELECT * FROM (VALUES ('ex/o_custkey', 0), ('ex/l_orderkey', 0), ('ex/l_partkey', 0)) AS v(s, min_cardinality)")
+@_query("SELECT DISTINCT 'ex/links/' || o_custkey AS s, 0 AS min_cardinality FROM orders WHERE o_orderstatus <> 'P' UNION SELECT DISTINCT 'ex/made-of/' || l_partkey, 0 FROM lineitem")
 def cardinality_default(spark, sf_dir):
     o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
-    facts = [T.iri(T.TYPE, T.OBJECT_PROPERTY, s=EX + c) for c in ("l_orderkey", "l_partkey")]
-    g = T.emit(li.select("l_orderkey").limit(1), F.lit(EX + "l_orderkey"), *facts).unionByName(T.emit(o.select("o_custkey").limit(1), F.lit(EX + "o_custkey"), T.iri(T.TYPE, T.OBJECT_PROPERTY)))
+    kind = F.when(F.col("o_orderstatus") == "P", T.DATATYPE_PROPERTY).otherwise(T.OBJECT_PROPERTY)
+    g = T.emit(o, F.concat(F.lit(EX + "links/"), F.col("o_custkey").cast("string")), T.iri(T.TYPE, kind))
+    g = g.unionByName(T.emit(li, F.concat(F.lit(EX + "made-of/"), F.col("l_partkey").cast("string")), T.iri(T.TYPE, T.OBJECT_PROPERTY)))
     return T.cardinality_default(g).select("s", F.col("o").cast("int").alias("min_cardinality"))
 
 

@@ -9,22 +9,16 @@ from pyspark.sql import functions as F
 SKIPPED = ("description", "reference", "organization", "contact", "revision")
 CLASSED = ("container", "list", "leaf", "augment", "grouping")
 CLOSED = ("leaf", "leaf-list", "typedef")
-STYLE = """
-body { font-family: sans-serif; padding: 20px; }
-.module-box { border: 1px solid #ccc; padding: 15px; margin-bottom: 20px; }
-ul { list-style: none; padding-left: 20px; }
-.keyword { font-weight: bold; margin-right: 5px; }
-.type { font-style: italic; margin-left: 10px; }
-.desc { display: block; margin-left: 20px; }
-"""
+#: Keywords stand out, what explains them is muted.
+STYLE = "main, li { line-height: 1.5 } .keyword { color: #05a } .keyword::after { content: ' ' } .type, .desc { color: #666 } h2 { border-bottom: thin solid }"
 
 
 def node_html(keyword: Column, arg: Column, type_name: Column, description: Column, children: Column) -> Column:
-    """One list item; the first line of the description is cut to 60 characters."""
+    """One list item; the first line of the description is cut to 60 characters, and a statement without argument shows None."""
     css = F.when(keyword.isin(*CLASSED), keyword).otherwise("other")
     brief = F.substr(F.substring_index(description, "\n", 1), F.lit(1), F.lit(60))
     return F.concat(
-        F.lit("<li class='"), css, F.lit("'><span class='keyword'>"), keyword, F.lit("</span><span class='arg'>"), F.coalesce(arg, F.lit("")), F.lit("</span>"),
+        F.lit("<li class='"), css, F.lit("'><span class='keyword'>"), keyword, F.lit("</span><span class='arg'>"), F.coalesce(arg, F.lit("None")), F.lit("</span>"),
         F.coalesce(F.concat(F.lit('<span class="type">('), type_name, F.lit(")</span>")), F.lit("")),
         F.coalesce(F.concat(F.lit('<span class="desc">"'), brief, F.lit('..."</span>')), F.lit("")),
         F.when(F.coalesce(children, F.lit("")) != "", F.concat(F.lit("<ul>"), children, F.lit("</ul>"))).otherwise(F.lit("")),

@@ -25,6 +25,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+#: Tasks, and so files, of one predicate at most.
+SPREAD = 64
 Term = tuple[str, str, str | None, str | None]  # value, kind, datatype, language
 
 
@@ -204,5 +206,8 @@ def write_ntriples(graph: DataFrame, path: str) -> None:
 
 
 def write_triples(graph: DataFrame, path: str) -> None:
-    """Parquet by predicate: a pattern with a bound predicate reads its folder alone."""
-    graph.repartition("p").write.mode("overwrite").partitionBy("p").parquet(path)
+    """Parquet by predicate: a pattern with a bound predicate reads its folder alone.
+
+    A predicate's rows go to ``SPREAD`` tasks by subject, so that one that all subjects have is no task of its own.
+    """
+    graph.repartition("p", F.pmod(F.xxhash64("s"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("p").parquet(path)

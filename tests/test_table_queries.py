@@ -6,7 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphloom.plans.table_queries import ORACLE_SQL, QUERIES
+from graphloom.plans import model_queries, table_queries
+
+QUERIES = {**table_queries.QUERIES, **model_queries.QUERIES}
+ORACLE_SQL = {**table_queries.ORACLE_SQL, **model_queries.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
