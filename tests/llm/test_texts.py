@@ -52,18 +52,18 @@ def test_grams_are_those_of_each_text_alone():
     texts = ["Hello\tworld", "", "hello world", "héé", "ab"]
     raw = [t.encode() for t in texts]
     offsets = np.cumsum([0, *map(len, raw)])
-    together = [set(x.tolist()) for x in grams(np.frombuffer(b"".join(raw), np.uint8), offsets)]
-    each = [set(next(grams(np.frombuffer(r, np.uint8), np.array([0, len(r)]))).tolist()) for r in raw]
-    assert together == each
+    t, f = grams(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    each = [set(grams(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[1]) if r else set() for r in raw]
+    assert [set(f[t == i]) for i in range(5)] == each
     assert each[0] == each[2] and not each[1] and not each[4]
 
 
-def test_toxicity_scores_against_brute_force(spark, sf, monkeypatch):
+def test_toxicity_scores_against_brute_force(spark, sf):
     import graphloom.llm.toxicity as tx
 
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    weights, b = tx.fit_toxicity(docs, labels)
-    w32 = weights.astype(np.float32).astype(float)
+    hashes, weights, b = tx.fit_toxicity(docs, labels)
+    known = dict(zip(hashes.tolist(), weights.tolist()))
     code = [int(x) for x in tx._CODE]
 
     def slot(g):
@@ -77,10 +77,8 @@ def test_toxicity_scores_against_brute_force(spark, sf, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in queries.op5_toxicity(spark, sf).collect()}
     for d in sorted(texts)[:40]:
         t = texts[d]
-        want = b + sum(w32[s] for s in {slot(t[i : i + n]) for n in tx.SIZES for i in range(len(t) - n + 1)})
+        want = b + sum(known.get(s, 0.0) for s in {slot(t[i : i + n]) for n in tx.SIZES for i in range(len(t) - n + 1)})
         assert got[d] == pytest.approx(1 / (1 + np.exp(-want)), abs=1e-6)
-    monkeypatch.setattr(tx, "MARKED", 0)  # marked or sorted, the slots are the same
-    assert {r["doc_id"]: r["score"] for r in queries.op5_toxicity(spark, sf).collect()} == pytest.approx(got)
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
