@@ -87,18 +87,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
     ``size`` is a column of ``groups``: the rows that a group has, or more.
     Sizes sum up to ``total`` at most, so fewer than ``BUSY`` groups exceed
-    total / BUSY; these are broadcast and meet their rows where they lie, and
-    the rest is shuffled in groups of total / BUSY rows at most. ``groups`` has
-    no columns of ``rows`` but the keys.
+    total / BUSY; these are broadcast and meet their rows where they lie. The
+    other groups are shuffled, total / BUSY rows at most each; rows already met
+    go along under scattered keys, so that every row moves once. The first key
+    is a long, a string or binary; ``groups`` has no columns of ``rows`` but the keys.
     """
     bound = total // BUSY
-    renamed = groups.withColumnsRenamed({k: f"__{k}" for k in keys})
     more = [c for c in groups.columns if c not in keys]
-    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__{k}") for k in keys))
-    marked = rows.join(F.broadcast(renamed.where(F.col(size) > bound)), same, "left")
-    hot = marked.where(F.col(size).isNotNull()).select(*rows.columns, *more)
-    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(renamed.where(F.col(size) <= bound), same)
-    return hot.unionByName(rest.select(*rows.columns, *more))
+    large = groups.where(F.col(size) > bound).select(*(F.col(c).alias(f"__large_{c}") for c in groups.columns))
+    other = groups.where(F.col(size) <= bound).select(*(F.col(c).alias(f"__other_{c}") for c in groups.columns))
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__large_{k}") for k in keys))
+    met = F.col(f"__large_{size}").isNotNull()
+    # a met row keeps its first partner, so whatever its scattered key meets can't change or repeat it
+    kinds = dict(rows.dtypes)
+    apart = F.xxhash64(F.spark_partition_id(), *(F.col(c) for c in rows.columns if not re.search(r"\b(map<|variant)", kinds[c])))
+    apart = apart if kinds[keys[0]] == "bigint" else apart.cast("string").cast(kinds[keys[0]])
+    marked = rows.join(F.broadcast(large), same, "left").withColumn("__at", F.when(met, apart).otherwise(F.col(keys[0])))
+    same = reduce(lambda a, b: a & b, (F.col("__at" if k == keys[0] else k) == F.col(f"__other_{k}") for k in keys))
+    found = marked.join(other, same, "left").where(met | F.col(f"__other_{size}").isNotNull())
+    return found.select(*rows.columns, *(F.when(met, F.col(f"__large_{c}")).otherwise(F.col(f"__other_{c}")).alias(c) for c in more))
 
 
 def held_out(doc_id="doc_id"):

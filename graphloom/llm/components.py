@@ -15,33 +15,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     of the edges with its result, in which the few nodes with very many edges
     are broadcast; so no node's neighbours are gathered in one task. The number
     of rounds grows with the logarithm of the longest path. The edges of each
-    round are checkpointed.
+    round are checkpointed; once every node hangs on a node that hangs on no
+    other, the nodes are at their smallest.
     """
     e = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = _state(e)
     for _ in range(rounds):
-        if not state[0]:
+        n, settled = _state(e)
+        if settled:
             break
         # large star: a node's larger neighbours move to its smallest
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        ends = 2 * state[0]
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = join_groups(both.where("v > u"), least, ["u"], "n", ends).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_groups(both.where("v > u"), least, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node's smaller neighbours and itself move to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_groups(large, low, ["u"], "n", ends).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_groups(large, low, ["u"], "n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        new = _state(e)
-        if new == state:
-            break
-        state = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _state(e: DataFrame) -> tuple:
-    """Number of edges and two order-free sums of their hashes."""
-    h = F.xxhash64("u", "v")
-    r = e.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))), F.sum(F.shiftrightunsigned(h, 24))).first()
-    return tuple(r)
+def _state(e: DataFrame) -> tuple[int, bool]:
+    """(number of edges, whether each node has one smaller neighbour at most, which has none)."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down")))
+    nodes = ends.groupBy("x").agg(F.sum("down").alias("down"), F.count(F.lit(1)).alias("n"))
+    n, open_ends = nodes.agg(F.sum("down"), F.sum(((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("n") > 1))).cast("long"))).first()
+    return n or 0, not open_ends

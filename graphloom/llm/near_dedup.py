@@ -404,7 +404,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
     crowded = across.where("crowded").select("a", "b")
     if not crowded.isEmpty():
         more = more.unionByName(_crowd_links(docs, crowded, comps, num, den))
-    final = durable(connected_components(links.unionByName(more)))
+    final = durable(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     named = classes.select("d0", "d1", "n_shingles", "id", "copies").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("d0", "d1", "n_shingles", "copies", F.coalesce("component", "id").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "d0", "d1")
     full = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
