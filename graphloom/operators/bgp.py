@@ -4,11 +4,14 @@ Each pattern becomes a filtered scan with only its variables, so a table
 partitioned by predicate is read where it matters; patterns that share a
 variable meet in equi-joins on whole terms (kind, datatype and language
 included), and Catalyst picks the join strategy. Bag semantics, as in SPARQL.
+A graph is one frame, or a frame for each predicate (``triples.by_predicate``);
+from the latter a pattern with a fixed predicate plans and reads its frame only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from .triples import object_term, subject_term
 
 Pattern = tuple[str, str, str]  # terms in N-Triples form, or ?variables
+Graph = DataFrame | dict[str, DataFrame]
 
 
 @dataclass
@@ -28,9 +32,18 @@ class Query:
     limit: int | None = None
 
 
-def _scan(graph: DataFrame, pattern: Pattern) -> DataFrame:
+def _chosen(graph: Graph, p: str) -> DataFrame:
+    """What can have triples of a pattern's predicate."""
+    if isinstance(graph, DataFrame):
+        return graph
+    if p.startswith("?"):
+        return reduce(DataFrame.unionByName, graph.values())
+    return graph[p[1:-1]] if p[1:-1] in graph else next(iter(graph.values()))
+
+
+def _scan(graph: Graph, pattern: Pattern) -> DataFrame:
     s, p, o = pattern
-    rows, cols = graph, {}
+    rows, cols = _chosen(graph, p), {}
     if not p.startswith("?"):
         rows = rows.where(F.col("p") == p[1:-1])
     if not s.startswith("?"):
@@ -54,7 +67,7 @@ def _join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, shared, how)
 
 
-def _group(graph: DataFrame, patterns: list[Pattern], bound: DataFrame | None = None) -> DataFrame:
+def _group(graph: Graph, patterns: list[Pattern], bound: DataFrame | None = None) -> DataFrame:
     """Join patterns, each next one sharing a variable with what is joined already if any does."""
     left, out = list(patterns), bound
     while left:
@@ -78,7 +91,7 @@ def _numeric(term: Column) -> Column:
     return F.when(typed, lexical(term).try_cast("double"))
 
 
-def solve(graph: DataFrame, query: Query) -> DataFrame:
+def solve(graph: Graph, query: Query) -> DataFrame:
     """Rows of lexical values, one column for each variable asked for; unbound is null."""
     out = _group(graph, query.patterns)
     for group in query.optionals:

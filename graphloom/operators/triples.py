@@ -54,10 +54,27 @@ def _po(s, p: str, o: Column, kind: str, dt: str | None) -> Column:
 
 def emit(rows: DataFrame, subject: Column, *facts: Column) -> DataFrame:
     """One source row becomes one triple for each fact whose subject and object are not null."""
-    t = rows.select(subject.alias("__s"), F.explode(F.array(*facts)).alias("t"))
+    t = rows.select(subject.alias("__s"), (facts[0] if len(facts) == 1 else F.explode(F.array(*facts))).alias("t"))
     return t.select(F.coalesce("t.s", "__s").alias("s"), "t.p", "t.o", "t.o_kind", "t.o_dt", "t.o_lang").where("s IS NOT NULL AND o IS NOT NULL")
 
 
+def by_predicate(rows: DataFrame, subject: Column, *facts) -> dict[str, DataFrame]:
+    """The triples of ``emit`` as a frame for each predicate: a pattern with a fixed one then reads only what its fact is made of.
+
+    facts: (``iri``, ``text``, ``number`` or ``boolean``, predicate, object).
+    """
+    return merged(*({p: emit(rows, subject, make(p, o))} for make, p, o in facts))
+
+
+def merged(*graphs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All triples of graphs that are kept by predicate; repeated ones stay."""
+    out: dict[str, DataFrame] = {}
+    for g in graphs:
+        for p, rows in g.items():
+            out[p] = out[p].unionByName(rows) if p in out else rows
+    return out
+
+
 def triple_set(*graphs: DataFrame) -> DataFrame:
     """Union with set semantics."""
     return reduce(DataFrame.unionByName, graphs).dropDuplicates()

@@ -396,7 +396,7 @@ def _i(x: str) -> str:
 @_query("SELECT 'ex/nation/' || n_nationkey AS location, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, r_name AS type FROM nation JOIN region ON n_regionkey = r_regionkey")
 def bgp_location(spark, sf_dir):
     n = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    g = T.emit(n, _iri("nation", "n_nationkey"), T.iri(T.TYPE, EX + "location"), T.text(EX + "id", F.col("n_nationkey").cast("string")), T.text(EX + "name", F.col("n_name")), T.text(EX + "type", F.col("r_name")))
+    g = T.by_predicate(n, _iri("nation", "n_nationkey"), (T.iri, T.TYPE, EX + "location"), (T.text, EX + "id", F.col("n_nationkey").cast("string")), (T.text, EX + "name", F.col("n_name")), (T.text, EX + "type", F.col("r_name")))
     return solve(g, Query(["location", "id", "name", "type"], [("?location", f"<{T.TYPE}>", _i("location")), ("?location", _i("id"), "?id"), ("?location", _i("name"), "?name"), ("?location", _i("type"), "?type")]))
 
 
@@ -405,10 +405,10 @@ SELECT CAST(o_orderkey AS VARCHAR) AS orderID, CASE WHEN c_acctbal > 0 THEN c_mk
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' ORDER BY nationName, orderID""")
 def bgp_chassis(spark, sf_dir):
     o, c, n = (_t(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    g = T.emit(o, _iri("order", "o_orderkey"), T.iri(EX + "status", _iri("status", "o_orderstatus")), T.text(EX + "order-id", F.col("o_orderkey").cast("string")), T.iri(EX + "customer", _iri("customer", "o_custkey")))
-    g = g.unionByName(T.emit(c, _iri("customer", "c_custkey"), T.text(EX + "name", F.col("c_name")), T.text(EX + "segment", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))), T.iri(EX + "nation", _iri("nation", "c_nationkey"))))
-    g = g.unionByName(T.emit(n, _iri("nation", "n_nationkey"), T.text(EX + "name", F.col("n_name"))))
-    return solve(g, Query(
+    orders = T.by_predicate(o, _iri("order", "o_orderkey"), (T.iri, EX + "status", _iri("status", "o_orderstatus")), (T.text, EX + "order-id", F.col("o_orderkey").cast("string")), (T.iri, EX + "customer", _iri("customer", "o_custkey")))
+    customers = T.by_predicate(c, _iri("customer", "c_custkey"), (T.text, EX + "name", F.col("c_name")), (T.text, EX + "segment", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))), (T.iri, EX + "nation", _iri("nation", "c_nationkey")))
+    nations = T.by_predicate(n, _iri("nation", "n_nationkey"), (T.text, EX + "name", F.col("n_name")))
+    return solve(T.merged(orders, customers, nations), Query(
         ["orderID", "segment", "customerName", "nationName"],
         [("?o", _i("status"), _i("status/F")), ("?o", _i("order-id"), "?orderID"), ("?o", _i("customer"), "?c"), ("?c", _i("name"), "?customerName"), ("?c", _i("nation"), "?n"), ("?n", _i("name"), "?nationName")],
         optionals=[[("?c", _i("segment"), "?segment")]], order=[("nationName", False), ("orderID", False)],
@@ -422,10 +422,10 @@ def bgp_power(spark, sf_dir):
     """Blank nodes for lines, a value join from line to part by its number, numeric order."""
     li, p, s = (_t(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
     line = F.concat(F.lit("_:l"), F.col("l_orderkey").cast("string"), F.lit("x"), F.col("l_linenumber").cast("string"), F.lit("x"), F.col("l_partkey").cast("string"), F.lit("x"), F.col("l_suppkey").cast("string"))
-    g = T.emit(li, line, T.text(EX + "order-id", F.col("l_orderkey").cast("string")), T.number(EX + "part-number", F.col("l_partkey")), T.iri(EX + "supplier", _iri("supplier", "l_suppkey")), T.number(EX + "quantity", F.col("l_quantity").cast("long")))
-    g = g.unionByName(T.emit(p, _iri("part", "p_partkey"), T.number(EX + "number", F.col("p_partkey")), T.text(EX + "name", F.col("p_name")), T.number(EX + "size", F.col("p_size"))))
-    g = g.unionByName(T.emit(s, _iri("supplier", "s_suppkey"), T.text(EX + "name", F.col("s_name"))))
-    return solve(g, Query(
+    lines = T.by_predicate(li, line, (T.text, EX + "order-id", F.col("l_orderkey").cast("string")), (T.number, EX + "part-number", F.col("l_partkey")), (T.iri, EX + "supplier", _iri("supplier", "l_suppkey")), (T.number, EX + "quantity", F.col("l_quantity").cast("long")))
+    parts = T.by_predicate(p, _iri("part", "p_partkey"), (T.number, EX + "number", F.col("p_partkey")), (T.text, EX + "name", F.col("p_name")), (T.number, EX + "size", F.col("p_size")))
+    suppliers = T.by_predicate(s, _iri("supplier", "s_suppkey"), (T.text, EX + "name", F.col("s_name")))
+    return solve(T.merged(lines, parts, suppliers), Query(
         ["orderID", "partName", "quantity", "supplierName"],
         [("?p", _i("size"), f'"15"^^<{T.XSD}integer>'), ("?p", _i("number"), "?num"), ("?p", _i("name"), "?partName"), ("?l", _i("part-number"), "?num"), ("?l", _i("quantity"), "?quantity"),
          ("?l", _i("order-id"), "?orderID"), ("?l", _i("supplier"), "?s"), ("?s", _i("name"), "?supplierName")], order=[("quantity", True)],

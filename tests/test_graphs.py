@@ -99,3 +99,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--query", str(tmp_path / "q.rq"), "--graph", str(tmp_path / "out" / "o.ttl")]) == 0
     assert capsys.readouterr().out.split() == ["s", "http://example.org/ontology/m/top"]
     assert output_path(str(tmp_path)).name == "simap-ontology.ttl"
+
+
+def test_patterns_on_a_graph_by_predicate_read_their_own_facts(spark, sf):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators.bgp import Query, solve
+    from graphloom.plans.table_queries import QUERIES
+
+    rows = spark.createDataFrame([(1, "one", "uno"), (2, None, "dos"), (2, None, "dos")], "id int, a string, b string")
+    s = F.concat(F.lit("e/"), F.col("id").cast("string"))
+    parts = T.merged(T.by_predicate(rows, s, (T.text, "e/a", F.col("a")), (T.number, "e/id", F.col("id"))), T.by_predicate(rows, s, (T.text, "e/a", F.col("b"))))
+    whole = T.emit(rows, s, T.text("e/a", F.col("a")), T.number("e/id", F.col("id"))).unionByName(T.emit(rows, s, T.text("e/a", F.col("b"))))
+    name, number, any_ = ("?x", "<e/a>", "?n"), ("?x", "<e/id>", "?i"), ("?x", "?p", "?o")
+    for query in (Query(["x", "n", "i"], [name, number]), Query(["x", "p", "o"], [any_]), Query(["x", "n"], [name, ("?x", "<e/none>", "?z")]), Query(["x", "z"], [number], [[("?x", "<e/none>", "?z")]])):
+        assert sorted(map(str, solve(parts, query).collect())) == sorted(map(str, solve(whole, query).collect()))
+    # a pattern plans the tables of its facts, not every table of the graph: eight patterns, two of them on names of parts and suppliers
+    plan = QUERIES["bgp_power"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 10 and "Generate" not in plan
