@@ -22,6 +22,8 @@ SH = "http://www.w3.org/ns/shacl#"
 PROV = "http://www.w3.org/ns/prov#"
 TYPE, LABEL, COMMENT, DOMAIN, RANGE, SUBCLASS = RDF + "type", RDFS + "label", RDFS + "comment", RDFS + "domain", RDFS + "range", RDFS + "subClassOf"
 CLASS, OBJECT_PROPERTY, DATATYPE_PROPERTY, INDIVIDUAL = OWL + "Class", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "NamedIndividual"
+#: Source rows of more estimated bytes than this are dealt out by ``spread``, into pieces of this size at most.
+PIECE = 1 << 20
 DERIVED, DISJOINT, MIN_CARDINALITY = PROV + "wasDerivedFrom", OWL + "disjointWith", OWL + "minCardinality"
 
 
@@ -52,6 +54,20 @@ def _po(s, p: str, o: Column, kind: str, dt: str | None) -> Column:
     )
 
 
+def spread(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Rows of a large table dealt out by hash before they become triples; small ones stay where they are.
+
+    A row becomes several wide triples, which the task that makes them also gathers to drop repeated ones. A scan task can hold a
+    whole table (row groups aren't split), and then the memory of one task would grow with the table. The size is the planner's
+    estimate of the columns given: select the needed ones first. The number of pieces is fixed, so that adaptive execution, which
+    sees narrow rows, doesn't merge them again.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= piece:
+        return rows
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // piece)), *rows.columns)
+
+
 def emit(rows: DataFrame, subject: Column, *facts: Column) -> DataFrame:
     """One source row becomes one triple for each fact whose subject and object are not null."""
     t = rows.select(subject.alias("__s"), (facts[0] if len(facts) == 1 else F.explode(F.array(*facts))).alias("t"))

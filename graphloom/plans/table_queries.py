@@ -87,6 +87,7 @@ def triple_set(spark, sf_dir):
 
 def _place_triples(spark, sf_dir):
     r, n, c = (_t(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    c = T.spread(c.select("c_nationkey", "c_name"))
     top = r.select(F.concat(F.lit("regions/"), "r_name").alias("path"), F.col("r_name").alias("name"), F.concat(F.lit("tp:"), "r_name", F.lit("?container")).alias("prov"))
     mid = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("regions/"), "r_name", F.lit("/"), "n_name").alias("path"), F.col("n_name").alias("name"),

@@ -117,3 +117,22 @@ def test_patterns_on_a_graph_by_predicate_read_their_own_facts(spark, sf):
     # a pattern plans the tables of its facts, not every table of the graph: eight patterns, two of them on names of parts and suppliers
     plan = QUERIES["bgp_power"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 10 and "Generate" not in plan
+
+
+def test_source_rows_of_a_large_table_are_dealt_out_before_they_become_triples(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphloom.plans.table_queries import QUERIES
+
+    customers = spark.range(300_000).select(F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", (F.col("id") * 7919) % 1_000_003).alias("c_name"), (F.col("id") % 25).cast("int").alias("c_nationkey"))
+    customers.coalesce(1).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(str(tmp_path / "customer.parquet"))
+    for t in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    # one file, one row group: one task reads it all, more than one makes the triples
+    rows = spark.read.parquet(str(tmp_path / "customer.parquet"))
+    made = T.emit(T.spread(rows), F.col("c_name"), T.text("p", F.col("c_name")), T.number("q", F.col("c_custkey"))).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r[1] for r in made) == 600_000 and max(r[1] for r in made) <= 200_000
+    assert T.spread(spark.read.parquet(f"{sf}/nation.parquet")).rdd.getNumPartitions() == 1
+    triples = QUERIES["class_triples"](spark, str(tmp_path))
+    assert "RepartitionByExpression" in triples._jdf.queryExecution().optimizedPlan().toString()
+    assert triples.count() == 3 * (300_000 + 25 + 5)
