@@ -80,7 +80,7 @@ def xpath_clean(spark, sf_dir):
 
 @_query("SELECT DISTINCT 'ex/order/' || l_orderkey AS s, 'ex/hasPart' AS p, 'ex/part/' || l_partkey AS o FROM lineitem")
 def triple_set(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    li = T.spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
     g = T.emit(li, _iri("order", "l_orderkey"), T.iri(EX + "hasPart", _iri("part", "l_partkey")))
     return T.triple_set(g, g).select("s", "p", "o")
 
@@ -314,7 +314,7 @@ def containment(spark, sf_dir):
 
 @_query("SELECT DISTINCT 'ex/links/' || o_custkey AS s, 0 AS min_cardinality FROM orders WHERE o_orderstatus <> 'P' UNION SELECT DISTINCT 'ex/made-of/' || l_partkey, 0 FROM lineitem")
 def cardinality_default(spark, sf_dir):
-    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    o, li = T.spread(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")), T.spread(_t(spark, sf_dir, "lineitem").select("l_partkey"))
     kind = F.when(F.col("o_orderstatus") == "P", T.DATATYPE_PROPERTY).otherwise(T.OBJECT_PROPERTY)
     g = T.emit(o, F.concat(F.lit(EX + "links/"), F.col("o_custkey").cast("string")), T.iri(T.TYPE, kind))
     g = g.unionByName(T.emit(li, F.concat(F.lit(EX + "made-of/"), F.col("l_partkey").cast("string")), T.iri(T.TYPE, T.OBJECT_PROPERTY)))
@@ -334,7 +334,7 @@ SELECT 'ex/line/' || l_orderkey || '/' || l_linenumber AS s, '{T.SH}condition' A
 UNION SELECT 'ex/line/' || l_orderkey || '/' || l_linenumber, '{T.SH}deactivated', '../flag = ''' || f || '''' FROM d WHERE f = 'R'
 UNION SELECT 'ex/line/' || l_orderkey || '/' || l_linenumber, '{T.COMMENT}', 'Conditional: exists when ../flag = ''' || f || '''' FROM d WHERE f = 'R'""")
 def must_when(spark, sf_dir):
-    d = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_discount") * 100).cast("long").alias("d"), F.col("l_returnflag").alias("f"))
+    d = T.spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_discount") * 100).cast("long").alias("d"), F.col("l_returnflag").alias("f")))
     s = F.concat(F.lit(EX + "line/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
     must = F.when(F.col("d") > 5, F.concat(F.lit(". <= "), F.col("d").cast("string")))
     when = F.when(F.col("f") == "R", F.concat(F.lit("../flag = '"), "f", F.lit("'")))
@@ -438,8 +438,8 @@ SELECT p, count(*) AS n, count(DISTINCT s) AS subjects FROM (
   SELECT DISTINCT 'ex/order/' || l_orderkey AS s, 'ex/hasPart' AS p, 'ex/part/' || l_partkey AS o FROM lineitem
   UNION SELECT 'ex/order/' || o_orderkey, 'ex/customer', 'ex/customer/' || o_custkey FROM orders) GROUP BY p""")
 def triple_stats(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
-    a = T.emit(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), _iri("order", "l_orderkey"), T.iri(EX + "hasPart", _iri("part", "l_partkey")))
+    o, li = T.spread(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")), T.spread(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
+    a = T.emit(li, _iri("order", "l_orderkey"), T.iri(EX + "hasPart", _iri("part", "l_partkey")))
     b = T.emit(o, _iri("order", "o_orderkey"), T.iri(EX + "customer", _iri("customer", "o_custkey")))
     return T.triple_stats(T.triple_set(a, b))
 

@@ -136,3 +136,11 @@ def test_source_rows_of_a_large_table_are_dealt_out_before_they_become_triples(s
     triples = QUERIES["class_triples"](spark, str(tmp_path))
     assert "RepartitionByExpression" in triples._jdf.queryExecution().optimizedPlan().toString()
     assert triples.count() == 3 * (300_000 + 25 + 5)
+
+
+@pytest.mark.parametrize("name", ["triple_stats", "triple_set", "must_when", "cardinality_default"])
+def test_lines_are_dealt_out_before_they_become_triples(spark, name):
+    from graphloom.plans.table_queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_" in plan
